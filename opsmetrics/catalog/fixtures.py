@@ -93,3 +93,45 @@ class Tables:
                        value("duration", money("value")), value("props", F.col("props")),
                        action("session_id", F.col("user_id")), F.lit("</event>"))
         return self.events.select("event_id", doc.alias("event_data"))
+
+    # --- waits per user: one row per user and capture time ------------------
+
+    def user_snapshots(self) -> DataFrame:
+        """Cumulative waits per user at three capture times; an event counts in every capture after it."""
+        captures = F.filter(F.array(*[F.lit(c).cast("timestamp_ntz") for c in CAPTURES]), lambda c: c > F.col("ts"))
+        cents = F.round(F.col("value") * 100).cast("bigint")
+        return (self.events.withColumn("runtime", F.explode(captures))
+                .groupBy("runtime", wait_name().alias("wait_type"))
+                .agg(F.count(F.lit(1)).alias("waiting_tasks_count"), F.sum(cents).alias("wait_time_ms"),
+                     F.sum(F.when(F.col("event_type") == "view", cents).otherwise(0)).alias("signal_wait_time_ms"),
+                     F.max(cents).alias("max_wait_time_ms")))
+
+    def user_waits(self) -> DataFrame:
+        """The same over the whole table: one row per wait type."""
+        cents = F.round(F.col("value") * 100).cast("bigint")
+        return (self.events.groupBy(wait_name().alias("wait_type"))
+                .agg(F.count(F.lit(1)).alias("waiting_tasks_count"), F.sum(cents).alias("wait_time_ms"),
+                     F.sum(F.when(F.col("event_type") == "view", cents).otherwise(0)).alias("signal_wait_time_ms"),
+                     F.max(cents).alias("max_wait_time_ms")))
+
+
+CAPTURES = ["2024-01-06 00:00:00", "2024-01-16 00:00:00", "2024-01-26 00:00:00"]
+# A few users stand for wait types that reports treat in their own way.
+SPECIAL_USERS = {1: "SOS_SCHEDULER_YIELD", 2: "DIRTY_PAGE_POLL", 3: "WAITFOR", 4: "LCK_M_X", 5: "LCK_M_S", 6: "PAGEIOLATCH_SH"}
+
+
+def wait_name() -> Column:
+    from ..functions.scalars import decode
+
+    return decode("user_id", SPECIAL_USERS, F.concat(F.lit("USER_"), F.col("user_id").cast("string")))
+
+
+_WAIT_NAME_SQL = ("CASE user_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in SPECIAL_USERS.items())
+                  + " ELSE 'USER_' || user_id END")
+_WAIT_AGG_SQL = f"""{_WAIT_NAME_SQL} AS wait_type, CAST(count(*) AS BIGINT) AS waiting_tasks_count,
+  CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS wait_time_ms,
+  CAST(sum(CASE WHEN event_type = 'view' THEN CAST(value * 100 AS BIGINT) ELSE 0 END) AS BIGINT) AS signal_wait_time_ms,
+  CAST(max(CAST(value * 100 AS BIGINT)) AS BIGINT) AS max_wait_time_ms"""
+USER_WAITS_SQL = f"SELECT {_WAIT_AGG_SQL} FROM events GROUP BY 1"
+USER_SNAPSHOTS_SQL = f"""SELECT runtime, {_WAIT_AGG_SQL} FROM events JOIN (VALUES {', '.join(f"(TIMESTAMP '{c}')" for c in CAPTURES)}) c(runtime)
+ON ts < runtime GROUP BY ALL"""
