@@ -276,9 +276,9 @@ def _(t):
 
 @query("k20_avg_tasks", """
 SELECT CAST(sum(CAST(l_quantity AS BIGINT)) // count(*) AS BIGINT) AS avg_current_tasks_count, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS avg_work_queue_count,
-  CAST(sum(l_partkey) // count(*) AS BIGINT) AS avg_runnable_tasks_count, CAST(sum(l_suppkey) // count(*) AS BIGINT) AS avg_pending_disk_io_count FROM lineitem WHERE l_orderkey < 255 * 16""")
+  CAST(sum(l_partkey) // count(*) AS BIGINT) AS avg_runnable_tasks_count, CAST(sum(l_suppkey) // count(*) AS BIGINT) AS avg_pending_disk_io_count FROM lineitem WHERE l_linenumber * 40 < 255""")
 def _(t):
-    rows = t.lineitem.select(int_div("l_orderkey", 16).alias("scheduler_id"), F.col("l_quantity").cast("bigint").alias("current_tasks_count"), F.col("l_linenumber").alias("work_queue_count"),
+    rows = t.lineitem.select((F.col("l_linenumber") * 40).alias("scheduler_id"), F.col("l_quantity").cast("bigint").alias("current_tasks_count"), F.col("l_linenumber").alias("work_queue_count"),
                              F.col("l_partkey").alias("runnable_tasks_count"), F.col("l_suppkey").alias("pending_disk_io_count"))
     return C.avg_tasks(rows)
 
