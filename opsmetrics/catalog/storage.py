@@ -31,7 +31,7 @@ def files(t):
     return t.part.select(F.lit(1).alias("database_id"), F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"), F.when(F.col("p_type") == "ECONOMY", "LOG").otherwise("ROWS").alias("type_desc"),
                          F.concat(F.right("p_brand", F.lit(2)), F.lit("/"), F.col("p_name")).alias("physical_name"), F.col("p_brand").alias("volume_mount_point"), F.col("p_brand").alias("database_name"),
                          (F.col("p_size") * 1000000).cast("bigint").alias("size"), (F.col("p_size") * 400000).cast("bigint").alias("used"), (F.col("p_size") * 300).cast("bigint").alias("growth"),
-                         (F.col("p_size") % 3 == 0).alias("is_percent_growth"), (F.col("p_size") % 5 - 1).cast("bigint").alias("max_size"))
+                         (F.col("p_size") > 30).alias("is_percent_growth"), (F.col("p_size") % 5 - 1).cast("bigint").alias("max_size"))
 
 
 IO_SQL = """SELECT l_partkey AS file_id, CAST(count(*) FILTER (l_returnflag <> 'N') AS BIGINT) AS num_of_reads, CAST(count(*) FILTER (l_returnflag = 'N') AS BIGINT) AS num_of_writes,
@@ -39,7 +39,7 @@ IO_SQL = """SELECT l_partkey AS file_id, CAST(count(*) FILTER (l_returnflag <> '
   CAST(coalesce(sum(CAST(l_extendedprice * 100 AS BIGINT)) FILTER (l_returnflag <> 'N'), 0) AS BIGINT) AS num_of_bytes_read, CAST(coalesce(sum(CAST(l_extendedprice * 100 AS BIGINT)) FILTER (l_returnflag = 'N'), 0) AS BIGINT) AS num_of_bytes_written
   FROM lineitem {where} GROUP BY 1"""
 FILES = """SELECT p_partkey AS file_id, p_name AS name, CASE WHEN p_type = 'ECONOMY' THEN 'LOG' ELSE 'ROWS' END AS type_desc, right(p_brand, 2) || '/' || p_name AS physical_name, p_brand AS brand,
-  CAST(p_size * 1000000 AS BIGINT) AS size, CAST(p_size * 400000 AS BIGINT) AS used, CAST(p_size * 300 AS BIGINT) AS growth, p_size % 3 = 0 AS is_percent_growth, CAST(p_size % 5 - 1 AS BIGINT) AS max_size FROM part"""
+  CAST(p_size * 1000000 AS BIGINT) AS size, CAST(p_size * 400000 AS BIGINT) AS used, CAST(p_size * 300 AS BIGINT) AS growth, p_size > 30 AS is_percent_growth, CAST(p_size % 5 - 1 AS BIGINT) AS max_size FROM part"""
 IO = f"(({IO_SQL.format(where='')}) JOIN ({FILES}) USING (file_id))"
 
 
@@ -193,9 +193,9 @@ def _(t):
 
 
 @query("k61_table_compression", f"""
-SELECT p_brand AS table_name, p_type AS data_compression_desc, {fx('CAST(sum(p_size) AS BIGINT) * 8.0 / 1024', 2)} AS size_mb, CAST(sum(p_size) AS BIGINT) AS row_count FROM part WHERE p_size % 3 IN (0, 1) GROUP BY 1, 2""")
+SELECT p_brand AS table_name, p_type AS data_compression_desc, {fx('CAST(sum(p_size) AS BIGINT) * 8.0 / 1024', 2)} AS size_mb, CAST(sum(p_size) AS BIGINT) AS row_count FROM part WHERE p_size <= 40 GROUP BY 1, 2""")
 def _(t):
-    rows = t.part.select(F.col("p_brand").alias("table_name"), F.col("p_type").alias("data_compression_desc"), (F.col("p_size") % 3).alias("index_id"), F.col("p_size").cast("bigint").alias("reserved_pages"), F.col("p_size").cast("bigint").alias("row_count"))
+    rows = t.part.select(F.col("p_brand").alias("table_name"), F.col("p_type").alias("data_compression_desc"), F.when(F.col("p_size") > 40, 2).otherwise(1).alias("index_id"), F.col("p_size").cast("bigint").alias("reserved_pages"), F.col("p_size").cast("bigint").alias("row_count"))
     return P.table_compression(rows)
 
 
@@ -254,10 +254,10 @@ def _(t):
 
 @query("k63_buffer_by_object", f"""
 SELECT p_brand AS object_name, p_type AS index_name, CAST(count(*) AS BIGINT) AS pages, {fx('count(*) * 8.0 / 1024', 2)} AS buffer_mb, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS free_bytes,
-  {fx('100.0 - 100.0 * CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 8192.0)', 2)} AS density_pct FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 4 IN (1, 3) GROUP BY 1, 2
+  {fx('100.0 - 100.0 * CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 8192.0)', 2)} AS density_pct FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 40 GROUP BY 1, 2
 ORDER BY pages DESC, object_name, index_name LIMIT 50""")
 def _(t):
-    units = t.part.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("hobt_id"), (F.col("p_size") % 4).alias("type"))
+    units = t.part.select(F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("hobt_id"), F.when(F.col("p_size") > 40, 2).otherwise(1).alias("type"))
     partitions = t.part.select(F.col("p_partkey").alias("hobt_id"), F.col("p_partkey").alias("object_id"))
     objects = t.part.select(F.col("p_partkey").alias("object_id"), F.col("p_brand").alias("object_name"), F.col("p_type").alias("index_name"))
     return P.buffer_by_object(buffer_pages(t), units, partitions, objects)

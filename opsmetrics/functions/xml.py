@@ -48,7 +48,8 @@ def named(entries, part: str = "value") -> Column:
 
 def parse_events(df: DataFrame, xml: str) -> DataFrame:
     """Adds event_name, event_time, data, labels, actions and the corrupt text, if any."""
-    event = parse_xml(xml, EVENT_SCHEMA)
+    # The one-element explode keeps later filters and selections from repeating the parse.
+    event = F.explode(F.array(parse_xml(xml, EVENT_SCHEMA)))
     return (df.withColumn("_event", event)
             .withColumn("event_name", F.col("_event._name"))
             .withColumn("event_time", F.col("_event._timestamp").try_cast("timestamp_ntz"))
