@@ -117,16 +117,18 @@ TIER_SQL = ", ".join(f"({a}, {b}, {c})" for a, b, c in TIERS)
 
 
 @query("k55_near_limit", f"""
-WITH s AS (SELECT user_id AS file_id, epoch_ms(ts) AS ms, event_id, CAST(value * 100 AS BIGINT) * 100000 AS b FROM events),
-r AS (SELECT file_id, ms, lead(ms) OVER w - ms AS gap, lead(b) OVER w AS nb FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ms)),
-i AS (SELECT file_id, {fx('1 * (1000.0 / CAST(gap AS DOUBLE))', 2)} AS iops, {fx('CAST(nb AS DOUBLE) / (CAST(gap AS DOUBLE) * 0.001) / 1024 / 1024', 2)} AS mbps FROM r WHERE gap IS NOT NULL AND gap <> 0),
+WITH s AS (SELECT user_id AS file_id, epoch_ms(ts) AS ms, count(*) AS n, CAST(sum(CAST(value * 100 AS BIGINT) * 100000) AS BIGINT) AS b FROM events GROUP BY 1, 2),
+r AS (SELECT file_id, ms, lead(ms) OVER w - ms AS gap, lead(n) OVER w AS nn, lead(b) OVER w AS nb FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ms)),
+i AS (SELECT file_id, {fx('nn * (1000.0 / CAST(gap AS DOUBLE))', 2)} AS iops, {fx('CAST(nb AS DOUBLE) / (CAST(gap AS DOUBLE) * 0.001) / 1024 / 1024', 2)} AS mbps FROM r WHERE gap IS NOT NULL AND gap <> 0),
 f AS (SELECT DISTINCT user_id AS file_id, {fx('user_id * 1000000 * 8.0 / 1024 / 1024', 4)} AS gb FROM events)
 SELECT file_id, gb AS file_size_gb, tier AS tier_gb, lim AS iops_limit, mlim AS mbps_limit, max(iops) AS max_iops, CAST(count(*) FILTER (iops >= lim * CAST(0.9 AS DOUBLE)) AS BIGINT) AS iops_near_limit,
   max(mbps) AS max_mbps, CAST(count(*) FILTER (mbps >= mlim * CAST(0.9 AS DOUBLE)) AS BIGINT) AS mbps_near_limit
 FROM i JOIN f USING (file_id), LATERAL (SELECT * FROM (VALUES {TIER_SQL}) v(tier, lim, mlim) WHERE tier >= gb ORDER BY tier LIMIT 1) GROUP BY ALL""")
 def _(t):
     day = F.col("ts").cast("date").alias("day")
-    ev = t.events.select(F.lit(1).alias("database_id"), F.col("user_id").alias("file_id"), int_div(instant_micros("ts"), 1000).alias("sample_ms"), day, F.lit(1).alias("one"), (cents("value") * 100000).alias("b"))
+    ms = int_div(instant_micros("ts"), 1000).alias("sample_ms")
+    ev = (t.events.groupBy(F.lit(1).alias("database_id"), F.col("user_id").alias("file_id"), ms, day)
+          .agg(F.count(F.lit(1)).alias("one"), F.sum(cents("value") * 100000).alias("b")))
     samples = running(ev, ["database_id", "file_id"], ["sample_ms"], "day", {"transfer_count": "one", "byte_count": "b"})
     fs = t.events.select(F.lit(1).alias("database_id"), F.col("user_id").alias("file_id"), (F.col("user_id") * 1000000).alias("size")).distinct().withColumn("name", F.lit("f"))
     return P.near_limit(samples, fs, "day").drop("database_id", "name")

@@ -67,8 +67,8 @@ def entry(map_col: str, name: str, type_: str = "string") -> Column:
 
 def xml_value(text, path: str, type_: str = "string") -> Column:
     """One value by path, for a single use. Parse once with parse_events for several."""
-    value = F.xpath_string(col(text), F.lit(path))
-    value = F.when(F.xpath_boolean(col(text), F.lit(f"boolean({path})")), value)
+    found = F.xpath_string(col(text), F.lit(path))
+    value = F.when(found != "", found).when(xml_exists(text, path), found)
     return value if type_ == "string" else value.try_cast(type_)
 
 

@@ -160,7 +160,7 @@ def blocked_counts(edges: DataFrame, keys=None) -> DataFrame:
     sizes, rest = _subtree_sizes(nodes, keys)
     if rest is None:
         return sizes.select(*keys, "sid", (F.col("size") - 1).alias("blocked_session_count"))
-    rings = _rings(rest, keys)
+    rings = _rings(rest, nodes, keys)
     cut = nodes.join(rings, keys + ["sid"], "left").withColumn("up", F.when(F.col("ring").isNull(), F.col("up")))
     sizes, _ = _subtree_sizes(materialise(cut.select(*keys, "sid", "up")), keys)
     sizes = sizes.join(rings, keys + ["sid"], "left")
@@ -189,11 +189,12 @@ def _subtree_sizes(nodes: DataFrame, keys: list) -> tuple[DataFrame, DataFrame |
                                     (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size")))
 
 
-def _rings(links: DataFrame, keys: list) -> DataFrame:
+def _rings(links: DataFrame, nodes: DataFrame, keys: list) -> DataFrame:
     """Sessions on cycles, labelled by the smallest id of their cycle.
 
     ``links`` point some fixed number of steps up and never end. Doubled until the set of
-    sessions pointed at stops shrinking, they point at cycle members only.
+    sessions pointed at stops shrinking, they point at cycle members only. The labels then
+    travel along the single steps of ``nodes``, doubled in turn.
     """
     state, before = links, -1
     while True:
@@ -204,7 +205,7 @@ def _rings(links: DataFrame, keys: list) -> DataFrame:
         before = now
         over = state.select(*keys, F.col("sid").alias("up"), F.col("up").alias("_up"))
         state = materialise(state.join(over, keys + ["up"], "inner").select(*keys, "sid", F.col("_up").alias("up")))
-    ring = materialise(state.join(targets, keys + ["sid"], "left_semi").withColumn("ring", F.least("sid", "up")))
+    ring = materialise(nodes.join(targets, keys + ["sid"], "left_semi").withColumn("ring", F.least("sid", "up")))
     while True:
         over = ring.select(*keys, F.col("sid").alias("up"), F.col("up").alias("_up"), F.col("ring").alias("_ring"))
         after = materialise(ring.join(over, keys + ["up"], "inner")
