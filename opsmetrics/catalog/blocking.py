@@ -238,8 +238,8 @@ def _(t):
 WITH c AS (SELECT l_orderkey AS s, l_returnflag AS d, l_linestatus AS o, CASE WHEN l_linenumber = 1 THEN 'DATABASE' ELSE 'KEY' END AS r, l_linenumber AS m, count(*) AS n FROM lineitem GROUP BY ALL),
 o AS (SELECT s, d, o, string_agg(m || 'x' || n, ',' ORDER BY m) AS locks FROM (SELECT s, d, o, m, n FROM c WHERE r = 'KEY') GROUP BY 1, 2, 3),
 k AS (SELECT s, d, string_agg(o || '=' || locks, ';' ORDER BY o) AS objects FROM o GROUP BY 1, 2),
-b AS (SELECT s, d, string_agg(m || 'x' || n, ',' ORDER BY m, n) AS own FROM c WHERE r = 'DATABASE' GROUP BY 1, 2)
-SELECT coalesce(b.s, k.s) AS session_id, coalesce(b.d, k.d) AS database_name, own, objects FROM b FULL JOIN k ON b.s = k.s AND b.d = k.d""")
+b AS (SELECT s, d, string_agg(m || 'x' || n, ',' ORDER BY m, n) AS own FROM (SELECT s, d, m, sum(n) AS n FROM c WHERE r = 'DATABASE' GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT coalesce(b.s, k.s) AS session_id, coalesce(b.d, k.d) AS database_name, own, coalesce(objects, '') AS objects FROM b FULL JOIN k ON b.s = k.s AND b.d = k.d""")
 def _(t):
     locks = t.lineitem.select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("database_name"), F.col("l_linestatus").alias("object_name"),
                               F.when(F.col("l_linenumber") == 1, "DATABASE").otherwise("KEY").alias("resource_type"), F.col("l_linenumber").cast("string").alias("request_mode"), F.lit("GRANT").alias("request_status"))

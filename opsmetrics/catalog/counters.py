@@ -171,7 +171,7 @@ def wait_events(t):
         F.lit('<data name="signal_duration"><value>'), F.floor("value").cast("string"), F.lit("</value></data>"),
         F.lit('<data name="completed_count"><value>1</value></data><action name="session_id"><value>'), F.col("user_id").cast("string"),
         F.lit("</value></action></event>"))
-    return t.events.select(doc.alias("event_data"))
+    return t.spread(t.events, "event_id").select(doc.alias("event_data"))
 
 
 @query("k13_event_wait_totals", """

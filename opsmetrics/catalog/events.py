@@ -32,7 +32,7 @@ def blocking_docs(t):
     graph = F.concat(text('<data name="xml_report"><value><deadlock victim="p'), F.col("event_id").cast("string"), text('"><process-list/></deadlock></value></data>'))
     blocked = F.concat(head("blocked_process_report"), data, actions, text("</event>"))
     dead = F.concat(head("xml_deadlock_report"), graph, actions, text("</event>"))
-    return t.events.select("event_id", F.when(F.col("event_type") == "error", dead).otherwise(blocked).alias("event_data"))
+    return t.spread(t.events, "event_id").select("event_id", F.when(F.col("event_type") == "error", dead).otherwise(blocked).alias("event_data"))
 
 
 @query("k113_blocking_events", """
@@ -65,7 +65,7 @@ def graphs(t):
     body = F.concat(root, text("<process-list>"), proc("A", c, F.col("o_orderpriority"), text("UPDATE t")), proc("B", F.concat(k, text("9")), text("APP02"), F.when(old, "unknown").otherwise("")), text("</process-list><resource-list>"),
                     lock(1, "B", "A"), lock(2, "A", "B"), text("</resource-list></deadlock>"))
     wrapped = F.concat(text('<event name="xml_deadlock_report"><data name="xml_report"><value>'), body, text("</value></data></event>"))
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", wrapped).otherwise(body).alias("xml"))
+    return t.spread(t.orders, "o_orderkey").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", wrapped).otherwise(body).alias("xml"))
 
 
 def shredded(t, keep=False):

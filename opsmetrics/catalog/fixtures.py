@@ -82,6 +82,10 @@ class Tables:
         return out.select("counter", "batch", F.col("tasks").cast("bigint").alias("tasks"),
                           F.col("wait_ms").cast("bigint").alias("wait_ms"))
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of a one-file table over all cores, as documents from many files would be."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
+
     def events_xml(self) -> DataFrame:
         """One event document per row."""
         value = lambda name, c: F.concat(F.lit(f'<data name="{name}"><value>'), c.cast("string"),
@@ -92,7 +96,7 @@ class Tables:
                        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('">'),
                        value("duration", money("value")), value("props", F.col("props")),
                        action("session_id", F.col("user_id")), F.lit("</event>"))
-        return self.events.select("event_id", doc.alias("event_data"))
+        return self.spread(self.events, "event_id").select("event_id", doc.alias("event_data"))
 
     # --- waits per user: one row per user and capture time ------------------
 

@@ -126,8 +126,16 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR T
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, CAST(count(*) AS BIGINT) AS events FROM s GROUP BY user_id, no""")
 def _(t):
-    out = ST.activity_sessions(t.events, "user_id", "ts", "6 hours")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    return ST.activity_sessions(t.events, "user_id", "ts", "6 hours", id_col="event_id")
+
+
+@query("i11_session_stream", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, min(ts) AS session_start, CAST(count(*) AS BIGINT) AS events FROM s GROUP BY user_id, no""")
+def _(t):
+    out = complete(t, ST.activity_sessions(event_stream(t), "user_id", "at", "6 hours", delay="60 days"), ST.scratch(t.spark, "sessions"))
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
 
 
 @query("i12_unseen_only", """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, safe_div
+from ..session import materialise
 from .windows import as_list, grand_total
 
 
@@ -20,7 +21,11 @@ def last_by_kind(df: DataFrame, keys, kind: str, ts: str, kinds: dict) -> DataFr
 
 
 def share_of_total(df: DataFrame, measure: str, name: str = "share_pct") -> DataFrame:
-    """Percent of the whole-table sum, on an already grouped table."""
+    """Percent of the whole-table sum, on an already grouped table.
+
+    The grouped rows are written once, for the total and the shares.
+    """
+    df = materialise(df)
     return df.withColumn(name, safe_div(100.0 * F.col(measure).cast("double"),
                                         grand_total(df, F.sum(measure)).cast("double")))
 

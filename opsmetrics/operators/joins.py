@@ -22,9 +22,9 @@ def not_exists(df: DataFrame, other: DataFrame, on) -> DataFrame:
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """``NOT IN``: one null on the right empties the answer, null rows on the left go too."""
     values = other.select(F.col(other_column).alias("_v"))
-    facts = values.agg(F.count_if(F.col("_v").isNull()).alias("nulls"),
-                       F.count(F.lit(1)).alias("rows"))
-    nulls, rows = facts.select("nulls").scalar(), facts.select("rows").scalar()
+    facts = values.agg(F.struct(F.count_if(F.col("_v").isNull()).alias("nulls"),
+                                F.count(F.lit(1)).alias("rows")).alias("f")).scalar()
+    nulls, rows = facts["nulls"], facts["rows"]
     kept = df.join(values.where("_v is not null"), F.col(column) == F.col("_v"), "left_anti")
     return kept.where((rows == 0) | ((nulls == 0) & F.col(column).isNotNull()))
 

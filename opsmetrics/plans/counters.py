@@ -12,6 +12,7 @@ from ..functions.scalars import (boundaries, decode, fixed, int_avg, int_div, li
 from ..functions.xml import RECORD_SCHEMA, entry, parse_events, parse_xml
 from ..operators.aggregates import share_of_total
 from ..operators.windows import BLOCK, as_list, grand_total, range_blocks, running
+from ..session import materialise
 
 
 def without(df: DataFrame, key: str, ignore) -> DataFrame:
@@ -64,7 +65,7 @@ def signal_ratio(waits: DataFrame, ignore=None) -> DataFrame:
 
 
 def wait_totals(waits: DataFrame, ignore=V.IGNORABLE_WAITS, n: int = 25) -> DataFrame:
-    totals = per_type(without(waits, "wait_type", ignore))
+    totals = materialise(per_type(without(waits, "wait_type", ignore)))
     total = grand_total(totals, F.sum("wait_ms"))
     return (totals.orderBy(F.desc("wait_ms"), "wait_type").limit(n)
             .select("wait_type", F.col("wait_ms").alias("sum_wait_time_ms"),
@@ -107,7 +108,7 @@ def wait_delta(first: DataFrame, last: DataFrame, n: int = 20) -> DataFrame:
 def latest_wait_delta(samples: DataFrame, batch: str = "batch_id", time: str = "sample_time") -> DataFrame:
     """Delta of the latest batch against the one numbered just before it."""
     newest = samples.agg(F.max(batch)).scalar()
-    pair = samples.where(F.col(batch).isin([newest]) | (F.col(batch) == newest - 1))
+    pair = samples.where(F.col(batch) >= newest - 1)
     part = lambda cond, c: F.max(F.when(cond, F.col(c)))
     is_new = F.col(batch) == newest
     sums = lambda cond, c: F.sum(F.when(cond, F.col(c)))
@@ -150,10 +151,19 @@ def snap_window(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     return df.agg(begin.alias("start_time"), stop.alias("end_time"))
 
 
+def snapped(df: DataFrame, ts: str, start, end) -> tuple[Column, Column]:
+    """The snapped window as two scalars that share one pass."""
+    window = snap_window(df, ts, start, end)
+    both = window.select(F.struct("start_time", "end_time").alias("w")).scalar()
+    return both["start_time"], both["end_time"]
+
+
 def category_window(waits: DataFrame, cpu: DataFrame, start, end, cpu_count: int) -> DataFrame:
-    """Per category over a snapped window: raw delta, ms per second, interval, and the CPU total."""
-    window = snap_window(waits, "runtime", start, end)
-    t1, t2 = window.select("start_time").scalar(), window.select("end_time").scalar()
+    """Per category over a snapped window: raw delta, ms per second, interval, and the CPU total.
+
+    Few rows that the reports read several times, so they are written once.
+    """
+    t1, t2 = snapped(waits, "runtime", start, end)
     stats = wait_category_stats(waits)
     ms = lambda t: F.sum(F.when(F.col("runtime") == t, F.col("wait_time_ms")))
     both = (stats.where((F.col("runtime") == t1) | (F.col("runtime") == t2)).groupBy("wait_category")
@@ -162,11 +172,12 @@ def category_window(waits: DataFrame, cpu: DataFrame, start, end, cpu_count: int
             .dropDuplicates(["record_id", "system_idle_cpu", "sql_cpu_utilization"])
             .agg(int_avg("sql_cpu_utilization")).scalar())
     secs = boundaries("second", t1, t2)
-    return (both.withColumn("raw_ms", F.col("end_ms") - F.coalesce("start_ms", F.lit(0)))
+    cats = (both.withColumn("raw_ms", F.col("end_ms") - F.coalesce("start_ms", F.lit(0)))
             .withColumn("time_interval_sec", secs)
             .withColumn("ms_per_sec", int_div("raw_ms", F.col("time_interval_sec") + 1))
             .withColumn("cpu_used_ms", F.coalesce(
                 F.floor(0.01 * used * (cpu_count * F.col("time_interval_sec")) * 1000), F.lit(0))))
+    return materialise(cats)
 
 
 def largest(cats: DataFrame, n: int) -> DataFrame:
@@ -300,8 +311,7 @@ RESOURCES = ["avg_cpu_percent", "avg_data_io_percent", "avg_log_write_percent",
 
 
 def in_window(df: DataFrame, ts: str, start, end) -> DataFrame:
-    w = snap_window(df, ts, start, end)
-    return df.where(F.col(ts).between(w.select("start_time").scalar(), w.select("end_time").scalar()))
+    return df.where(F.col(ts).between(*snapped(df, ts, start, end)))
 
 
 def resource_summary(df: DataFrame, start=None, end=None) -> DataFrame:

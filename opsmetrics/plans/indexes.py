@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import band, boundaries, fixed, int_div, pct, quote_name, rules, safe_div
 from ..operators.joins import prefix_join
-from ..operators.windows import as_list, attach, key_totals
+from ..operators.windows import key_totals
+from ..session import materialise
 
 OBJECT = ["schema_name", "table_name"]
 
@@ -124,7 +125,7 @@ def duplicate_indexes(columns: DataFrame) -> DataFrame:
     A clustered index (id 1) is repeated by any index with its keys. Each repeat is shown
     once, next to the first index it repeats and the number of such twins.
     """
-    lists = index_lists(columns)
+    lists = materialise(index_lists(columns))
     twins = lists.groupBy("object_id", "sorted_cols", "included").agg(F.min("index_id").alias("_first"), F.count(F.lit(1)).alias("copies"))
     clustered = lists.where("index_id = 1").select("object_id", "sorted_cols", F.lit(1).alias("_clustered"))
     rows = (lists.join(twins, ["object_id", "sorted_cols", "included"]).join(clustered, ["object_id", "sorted_cols"], "left"))
@@ -140,7 +141,7 @@ def redundant_indexes(columns: DataFrame) -> DataFrame:
     keys; ``same_keys`` counts others with equal keys but another direction or other
     included columns, clustered ones aside.
     """
-    lists = index_lists(columns)
+    lists = materialise(index_lists(columns))
     longer = prefix_join(lists, "object_id", "cols", "index_id").select("object_id", "index_id", "covered_by", "covering")
     kinds = lists.groupBy("object_id", "cols", "sorted_cols", "included").agg(
         F.count(F.lit(1)).alias("_same"), F.count_if(F.col("index_id") == 1).alias("_same_cl"))

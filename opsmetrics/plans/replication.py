@@ -10,6 +10,7 @@ from ..functions.scalars import boundaries, decode, int_div, safe_div, shift
 from ..functions.xml import entry, parse_events
 from ..operators.joins import role_join
 from ..operators.windows import BLOCK, as_list, attach, range_blocks, ranked, running
+from ..session import materialise
 
 SUBSCRIPTION = ["publisher", "publisher_db", "publication", "subscriber", "subscriber_db"]
 
@@ -37,7 +38,7 @@ def replication_lag(tracers: DataFrame, as_of, hours: int = 1, keys=SUBSCRIPTION
     pending = attach(pending, oldest, keys).where("publisher_commit = _first").drop("_first")
     rows = done.unionByName(pending).withColumn("_day", F.col("publisher_commit").cast("date"))
     rows = rows.withColumn("_ago", F.datediff(F.col("_day"), F.lit("1970-01-01").cast("date")))
-    rows = rows.withColumn("lag_sec", F.coalesce("total_latency_sec", boundaries("second", "publisher_commit", as_of)))
+    rows = materialise(rows.withColumn("lag_sec", F.coalesce("total_latency_sec", boundaries("second", "publisher_commit", as_of))))
     return ranked(rows, keys, "publisher_commit", descending=True, block="_ago", rank="rank_order").drop("_day", "_ago")
 
 

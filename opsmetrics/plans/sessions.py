@@ -179,14 +179,17 @@ def lock_tree(locks: DataFrame) -> DataFrame:
     Rows are first counted per kind of lock, so an array is as long as there are kinds and
     names, not requests.
     """
-    counts = lock_counts(locks)
-    lock = F.struct("resource_type", "request_mode", "request_status", "request_count")
     own = F.col("resource_type") == "DATABASE"
-    objects = (counts.where(~own).groupBy("session_id", "database_name", "object_name")
-               .agg(F.sort_array(F.collect_list(lock)).alias("locks")).groupBy("session_id", "database_name")
-               .agg(F.sort_array(F.collect_list(F.struct("object_name", "locks"))).alias("objects")))
-    bases = counts.where(own).groupBy("session_id", "database_name").agg(F.sort_array(F.collect_list(lock)).alias("database_locks"))
-    return bases.join(objects, ["session_id", "database_name"], "full")
+    named = F.when(~own, F.coalesce("object_name", F.lit("(null)")))
+    base = ["session_id", "database_name"]
+    counts = (locks.groupBy(*base, named.alias("object_name"), "resource_type", "request_mode", "request_status")
+              .agg(F.count(F.lit(1)).alias("request_count")))
+    lock = F.struct("resource_type", "request_mode", "request_status", "request_count")
+    per_object = counts.groupBy(*base, "object_name").agg(F.sort_array(F.collect_list(lock)).alias("locks"))
+    is_base = F.col("object_name").isNull()
+    return per_object.groupBy(*base).agg(
+        F.first(F.when(is_base, F.col("locks")), ignorenulls=True).alias("database_locks"),
+        F.sort_array(F.collect_list(F.when(~is_base, F.struct("object_name", "locks")))).alias("objects"))
 
 
 def tran_log_writes(log: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.scalars import (band, boundaries, bytes_to, decode, fixed, int_
 from ..functions.xml import RECORD_SCHEMA, parse_xml
 from ..operators.joins import ceiling_lookup
 from ..operators.windows import as_list, grand_total, neighbour
+from ..session import materialise
 from ..sources.tables import read_logs
 from .counters import counter_delta
 
@@ -204,7 +205,7 @@ def log_segments(segments: DataFrame) -> DataFrame:
 
 def buffer_by_db(pages: DataFrame, resource_db: int = 32767) -> DataFrame:
     name = F.when(F.col("database_id") == resource_db, "Resource DB").otherwise(F.col("database_name"))
-    g = pages.groupBy("database_id", name.alias("database_name")).agg(F.count(F.lit(1)).alias("pages"))
+    g = materialise(pages.groupBy("database_id", name.alias("database_name")).agg(F.count(F.lit(1)).alias("pages")))
     return g.select("database_id", "database_name", "pages", pages_to_mb("pages").alias("buffer_mb"), pct("pages", grand_total(g, F.sum("pages")), 2).alias("buffer_pct"))
 
 

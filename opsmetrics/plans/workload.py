@@ -153,19 +153,32 @@ def history(texts: DataFrame, queries: DataFrame, plans: DataFrame, runs: DataFr
 def recent(runs: DataFrame, intervals: DataFrame, hours: int, as_of) -> DataFrame:
     """Runs of intervals that started in the last ``hours``; the intervals are filtered first."""
     kept = intervals.where(F.col("start_time") >= shift(as_of, "hour", -hours))
-    return runs.join(kept, "interval_id")
+    return runs.join(kept.select("interval_id"), "interval_id")
+
+
+def per_plan(runs: DataFrame) -> DataFrame:
+    """Runs summed per plan, so that the joins to plans, queries and texts see one row per plan."""
+    outcome = lambda kind: F.sum(F.when(F.col("execution_type_desc") == kind, F.col("count_executions")).otherwise(0))
+    total = lambda c: F.sum(c).alias(f"sum_{c}")
+    return runs.groupBy("plan_id").agg(
+        F.sum(F.col("count_executions") * F.col("avg_cpu_time")).alias("cpu"), F.sum("count_executions").alias("n"), F.count(F.lit(1)).alias("rows"),
+        F.max("max_cpu_time").alias("max_cpu"), F.max("max_logical_io_reads").alias("max_reads"),
+        outcome("Aborted").alias("aborted"), outcome("Regular").alias("regular"), outcome("Exception").alias("exceptions"),
+        total("avg_cpu_time"), total("avg_logical_io_reads"), total("avg_physical_io_reads"), total("avg_duration"))
+
+
+def mean(column: str) -> Column:
+    """Average over runs, from sums per plan."""
+    return safe_div(F.sum(f"sum_{column}"), F.sum("rows"))
 
 
 def query_history_top_cpu(texts, queries, plans, runs, intervals, as_of, hours: int = 2, n: int = 15) -> DataFrame:
     """Most CPU per query hash: averages weighted by executions, outcomes counted apart."""
-    outcome = lambda kind: F.sum(F.when(F.col("execution_type_desc") == kind, F.col("count_executions")).otherwise(0))
     used = recent(runs.where(F.col("execution_type_desc").isin("Regular", "Aborted", "Exception")), intervals, hours, as_of)
-    cpu = F.sum(F.col("count_executions") * F.col("avg_cpu_time"))
-    g = (history(texts, queries, plans, used).groupBy("query_hash")
-         .agg((cpu / 1000.0).alias("total_cpu_ms"), F.sum("count_executions").alias("executions"),
-              (F.max("max_cpu_time") / 1000.0).alias("max_cpu_ms"), F.max("max_logical_io_reads").alias("max_logical_reads"),
-              F.countDistinct("plan_id").alias("plans"), F.countDistinct("query_id").alias("queries"),
-              outcome("Aborted").alias("aborted"), outcome("Regular").alias("regular"), outcome("Exception").alias("exceptions"),
+    g = (per_plan(used).join(plans.select("plan_id", "query_id"), "plan_id").join(queries, "query_id").join(texts, "query_text_id").groupBy("query_hash")
+         .agg((F.sum("cpu") / 1000.0).alias("total_cpu_ms"), F.sum("n").alias("executions"), (F.max("max_cpu") / 1000.0).alias("max_cpu_ms"),
+              F.max("max_reads").alias("max_logical_reads"), F.count(F.lit(1)).alias("plans"), F.countDistinct("query_id").alias("queries"),
+              F.sum("aborted").alias("aborted"), F.sum("regular").alias("regular"), F.sum("exceptions").alias("exceptions"),
               F.min("query_sql_text").alias("sample_text"))
          .withColumn("avg_cpu_ms", safe_div("total_cpu_ms", "executions")))
     return rank_band(g, 1, n, [F.desc("total_cpu_ms"), F.asc("query_hash")], "place")
@@ -173,26 +186,24 @@ def query_history_top_cpu(texts, queries, plans, runs, intervals, as_of, hours:
 
 def query_history_top(texts, queries, plans, runs, intervals, as_of, hours: int = 24, n: int = 25) -> DataFrame:
     """Most CPU per query; averages here are averages of interval averages."""
-    used = recent(runs, intervals, hours, as_of)
-    mean = lambda c: F.avg(c)
-    g = (history(texts, queries, plans, used).groupBy("query_id", "query_sql_text")
-         .agg(F.sum("count_executions").alias("executions"), (F.sum(F.col("count_executions") * F.col("avg_cpu_time")) / 1000.0).alias("total_cpu_ms"),
-              (mean("avg_cpu_time") / 1000.0).alias("avg_cpu_ms"), mean("avg_logical_io_reads").alias("avg_logical_reads"),
-              mean("avg_physical_io_reads").alias("avg_physical_reads"), (mean("avg_duration") / 1000.0).alias("avg_duration_ms"),
-              F.countDistinct("plan_id").alias("plan_count")))
+    g = (per_plan(recent(runs, intervals, hours, as_of)).join(plans.select("plan_id", "query_id"), "plan_id").groupBy("query_id")
+         .agg(F.sum("n").alias("executions"), (F.sum("cpu") / 1000.0).alias("total_cpu_ms"), (mean("avg_cpu_time") / 1000.0).alias("avg_cpu_ms"),
+              mean("avg_logical_io_reads").alias("avg_logical_reads"), mean("avg_physical_io_reads").alias("avg_physical_reads"),
+              (mean("avg_duration") / 1000.0).alias("avg_duration_ms"), F.count(F.lit(1)).alias("plan_count")))
     note = rules([(F.col("plan_count") > 1, "* Multiple plans — possible parameter sniffing *")], "")
-    return g.withColumn("plan_stability_note", note).orderBy(F.desc("total_cpu_ms"), "query_id").limit(n)
+    top = g.withColumn("plan_stability_note", note).orderBy(F.desc("total_cpu_ms"), "query_id").limit(n)
+    return top.join(queries.select("query_id", "query_text_id"), "query_id").join(texts, "query_text_id").drop("query_text_id")
 
 
 def query_history_by_hash(texts, queries, plans, runs, hashes: list) -> DataFrame:
     """All plans of the given query hashes."""
     wanted = queries.where(F.col("query_hash").isin(*hashes))
-    g = (runs.join(plans, "plan_id").join(wanted, "query_id").groupBy("query_id", "query_hash", "query_plan_hash")
-         .agg(F.sum("count_executions").alias("executions"), (F.avg("avg_cpu_time") / 1000.0).alias("avg_cpu_ms"),
-              (F.sum("count_executions") * F.avg("avg_cpu_time") / 1000.0).alias("total_cpu_ms"),
-              (F.avg("avg_logical_io_reads") / 1000.0).alias("avg_logical_reads"), (F.avg("avg_physical_io_reads") / 1000.0).alias("avg_physical_reads")))
+    known = plans.join(wanted.select("query_id", "query_hash"), "query_id")
+    g = (per_plan(runs.join(known.select("plan_id"), "plan_id", "left_semi")).join(known, "plan_id").groupBy("query_id", "query_hash", "query_plan_hash")
+         .agg(F.sum("n").alias("executions"), (mean("avg_cpu_time") / 1000.0).alias("avg_cpu_ms"), (F.sum("n") * mean("avg_cpu_time") / 1000.0).alias("total_cpu_ms"),
+              (mean("avg_logical_io_reads") / 1000.0).alias("avg_logical_reads"), (mean("avg_physical_io_reads") / 1000.0).alias("avg_physical_reads")))
     texted = wanted.select("query_id", "query_text_id").join(texts, "query_text_id").drop("query_text_id")
-    return g.join(texted, "query_id").join(plans.select("query_id", "query_plan_hash", "plan_id", "count_compiles"), ["query_id", "query_plan_hash"])
+    return g.join(texted, "query_id").join(known.select("query_id", "query_plan_hash", "plan_id", "count_compiles"), ["query_id", "query_plan_hash"])
 
 
 def query_history_search(texts, queries, plans, runs, pattern: str) -> DataFrame:
