@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_div, weighted_avg
 from ..operators import aggregates as A
 from ..operators.ranking import latest_per_key
+from ..operators.windows import time_block
 from .fixtures import money
 from .registry import query
 
@@ -94,14 +95,14 @@ SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY l_linenu
 FROM lineitem GROUP BY 1""")
 def _(t):
     return A.joined_text(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"],
-                         F.col("l_partkey").cast("string"), "parts")
+                         F.col("l_partkey").cast("string"), "parts", block="l_linenumber")
 
 
 @query("d11_ordered_text_blocks", """
 SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS trail FROM events GROUP BY 1""")
 def _(t):
-    ev = t.events.withColumn("day", F.col("ts").cast("date"))
-    return A.joined_text(ev, "user_id", ["ts", "event_id"], "event_type", "trail", ",", block="day")
+    ev = t.events.withColumn("slice", time_block("ts"))
+    return A.joined_text(ev, "user_id", ["ts", "event_id"], "event_type", "trail", ",", block="slice")
 
 
 @query("d12_latest_instance", """

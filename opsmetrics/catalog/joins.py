@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.xml import explode_events
 from ..operators import joins as J
-from ..operators.windows import neighbour, running
+from ..operators.windows import neighbour, running, time_block
 from .fixtures import COUNTERS_SQL, TREE_SQL, money
 from .registry import query
 
@@ -54,8 +54,8 @@ def _(t):
 SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE)
   AS running_value FROM events""")
 def _(t):
-    ev = t.events.select("event_id", "ts", money("value").alias("v"), F.col("ts").cast("date").alias("day"))
-    return (running(ev, [], ["ts", "event_id"], "day", {"running_value": "v"})
+    ev = t.events.select("event_id", "ts", money("value").alias("v"), time_block("ts").alias("slice"))
+    return (running(ev, [], ["ts", "event_id"], "slice", {"running_value": "v"})
             .select("event_id", F.col("running_value").cast("double").alias("running_value")))
 
 
@@ -74,8 +74,8 @@ def _(t):
 SELECT event_id, lag(event_id) OVER w AS previous_event, value - lag(value) OVER w AS step
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def _(t):
-    ev = t.events.withColumn("day", F.col("ts").cast("date"))
-    out = neighbour(ev, "user_id", ["ts", "event_id"], "day", {"previous_event": "event_id", "pv": "value"})
+    ev = t.events.withColumn("slice", time_block("ts"))
+    out = neighbour(ev, "user_id", ["ts", "event_id"], "slice", {"previous_event": "event_id", "pv": "value"})
     return out.select("event_id", "previous_event", (F.col("value") - F.col("pv")).alias("step"))
 
 

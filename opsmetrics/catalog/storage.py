@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.scalars import instant_micros, int_div
-from ..operators.windows import running
+from ..operators.windows import running, time_block
 from ..plans import storage as P
 from .fixtures import EVENTS_SPLIT, events_as_of, fx
 from .registry import query
@@ -125,13 +125,13 @@ SELECT file_id, gb AS file_size_gb, tier AS tier_gb, lim AS iops_limit, mlim AS
   max(mbps) AS max_mbps, CAST(count(*) FILTER (mbps >= mlim * CAST(0.9 AS DOUBLE)) AS BIGINT) AS mbps_near_limit
 FROM i JOIN f USING (file_id), LATERAL (SELECT * FROM (VALUES {TIER_SQL}) v(tier, lim, mlim) WHERE tier >= gb ORDER BY tier LIMIT 1) GROUP BY ALL""")
 def _(t):
-    day = F.col("ts").cast("date").alias("day")
+    day = time_block("ts").alias("slice")
     ms = int_div(instant_micros("ts"), 1000).alias("sample_ms")
     ev = (t.events.groupBy(F.lit(1).alias("database_id"), F.col("user_id").alias("file_id"), ms, day)
           .agg(F.count(F.lit(1)).alias("one"), F.sum(cents("value") * 100000).alias("b")))
-    samples = running(ev, ["database_id", "file_id"], ["sample_ms"], "day", {"transfer_count": "one", "byte_count": "b"})
+    samples = running(ev, ["database_id", "file_id"], ["sample_ms"], "slice", {"transfer_count": "one", "byte_count": "b"})
     fs = t.events.select(F.lit(1).alias("database_id"), F.col("user_id").alias("file_id"), (F.col("user_id") * 1000000).alias("size")).distinct().withColumn("name", F.lit("f"))
-    return P.near_limit(samples, fs, "day").drop("database_id", "name")
+    return P.near_limit(samples, fs, "slice").drop("database_id", "name")
 
 
 @query("k56_io_warnings", """

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import sets as S
-from ..plans.counters import counter_delta, latest_wait_delta
+from ..operators.windows import time_block
+from ..plans.counters import counter_delta
 from ..streaming import snapshots as ST
 from .fixtures import COUNTERS_SQL, EVENTS_SPLIT, events_as_of, money
 from .registry import query
@@ -72,8 +73,8 @@ SELECT event_id, CASE WHEN gap <> 0 THEN (nv - value) / (CAST(gap AS DOUBLE) / 1
 SELECT event_id, value, lead(value) OVER w AS nv, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE nv IS NOT NULL""")
 def _(t):
-    ev = t.events.withColumn("day", F.col("ts").cast("date"))
-    return ST.interval_rates(ev, "user_id", "ts", "value", "day").select("event_id", "per_second")
+    ev = t.events.withColumn("slice", time_block("ts"))
+    return ST.interval_rates(ev, "user_id", "ts", "value", "slice").select("event_id", "per_second")
 
 
 @query("i7_event_filter", """

@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import instant_micros, pct, safe_div
 from ..operators.aggregates import share_of_total
 from ..operators.ranking import first_per_key
-from ..operators.windows import BLOCK, key_totals, neighbour, numbered, range_blocks, ranked, running
+from ..operators.windows import BLOCK, key_totals, neighbour, numbered, range_blocks, ranked, running, time_block
 from ..plans.counters import pair_passes
 from .fixtures import COUNTERS_SQL, money
 from .registry import query
 
 
 def daily(t):
-    return t.events.withColumn("day", F.col("ts").cast("date"))
+    return t.events.withColumn("day", F.col("ts").cast("date")).withColumn("slice", time_block("ts"))
 
 
 @query("e1_row_number", """
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS of_user,
        row_number() OVER (ORDER BY ts, event_id) AS of_all FROM events""")
 def _(t):
-    one = numbered(daily(t), "user_id", ["ts", "event_id"], "day", "of_user")
-    return numbered(one, [], ["ts", "event_id"], "day", "of_all").select("event_id", "of_user", "of_all")
+    one = numbered(daily(t), "user_id", ["ts", "event_id"], "slice", "of_user")
+    return numbered(one, [], ["ts", "event_id"], "slice", "of_all").select("event_id", "of_user", "of_all")
 
 
 @query("e2_rank", """
@@ -44,8 +44,8 @@ def _(t):
 @query("e4_lag", """
 SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_order FROM orders""")
 def _(t):
-    orders = t.orders.withColumn("y", F.year("o_orderdate"))
-    return (neighbour(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "y", {"previous_order": "o_orderkey"})
+    orders = t.orders.withColumn("slice", F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 1000000)))
+    return (neighbour(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "slice", {"previous_order": "o_orderkey"})
             .select("o_orderkey", "previous_order"))
 
 
@@ -54,7 +54,7 @@ SELECT event_id, CASE WHEN gap <> 0 THEN (nv - value) / CAST(gap AS DOUBLE) END
 SELECT event_id, value, lead(value) OVER w AS nv, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def _(t):
-    out = neighbour(daily(t), "user_id", ["ts", "event_id"], "day", {"nv": "value", "nts": "ts"}, step="lead")
+    out = neighbour(daily(t), "user_id", ["ts", "event_id"], "slice", {"nv": "value", "nts": "ts"}, step="lead")
     gap = instant_micros("nts") - instant_micros("ts")
     return out.select("event_id", safe_div(F.col("nv") - F.col("value"), gap).alias("per_us"))
 

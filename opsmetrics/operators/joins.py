@@ -69,9 +69,10 @@ def ceiling_join(df: DataFrame, dim: DataFrame, value: str, bound: str) -> DataF
     Both sides are put on one axis; each row takes the nearest bound at or after it.
     The axis is cut into ranges, and only one bound per range is carried to the ranges before.
     """
-    from .windows import BLOCK, attach, range_blocks
     from pyspark.sql import Window as W
 
+    from .windows import BLOCK, range_blocks
+
     payload = F.struct(*[F.col(c) for c in dim.columns])
     bounds = dim.select(F.col(bound).cast("double").alias("_x"), F.lit(1).alias("_side"),
                         payload.alias("_dim"))
@@ -80,12 +81,10 @@ def ceiling_join(df: DataFrame, dim: DataFrame, value: str, bound: str) -> DataF
     axis = range_blocks(rows.unionByName(bounds, allowMissingColumns=True), "_x", "_side")
     first = axis.groupBy(BLOCK).agg(F.min_by("_dim", F.when(F.col("_side") == 1, F.col("_x"))).alias("_d"))
     later = W.orderBy(BLOCK).rowsBetween(1, W.unboundedFollowing)
-    carried = first.select(BLOCK, F.first("_d", ignorenulls=True).over(later).alias("_carried"))
+    edges = first.select(BLOCK, F.lit(float("inf")).alias("_x"), F.lit(2).alias("_side"), F.first("_d", ignorenulls=True).over(later).alias("_dim"))
     ahead = W.partitionBy(BLOCK).orderBy("_x", "_side").rowsBetween(W.currentRow, W.unboundedFollowing)
-    out = axis.withColumn("_hit", F.first("_dim", ignorenulls=True).over(ahead))
-    out = attach(out, carried, [BLOCK]).where("_side = 0")
-    out = out.withColumn("_hit", F.coalesce("_hit", "_carried")).where("_hit is not null")
-    return out.select("_row.*", "_hit.*")
+    out = axis.unionByName(edges, allowMissingColumns=True).withColumn("_hit", F.first("_dim", ignorenulls=True).over(ahead))
+    return out.where("_side = 0 and _hit is not null").select("_row.*", "_hit.*")
 
 
 def last_n_per_key(df: DataFrame, facts: DataFrame, keys, order, n: int) -> DataFrame:

@@ -4,9 +4,10 @@ A plain window puts every row of a key into one task. The functions here cut the
 order of each key into blocks: a window runs inside each (key, block), and one
 small row per (key, block) carries totals or edge rows across block borders.
 
-``block`` is a column that never decreases along the order, such as the day of
-the ordering timestamp. Where no such column is at hand, :func:`range_blocks`
-makes one.
+``block`` is a column that never decreases along the order, such as a slice of the
+ordering time (:func:`time_block`). A struct of the order column and a slice of the
+tie-breaker splits rows of one time too. Where no such column is at hand,
+:func:`range_blocks` makes one.
 """
 
 from __future__ import annotations
@@ -48,33 +49,38 @@ def range_blocks(df: DataFrame, *order) -> DataFrame:
     return materialise(ranged)
 
 
+def time_block(ts, minutes: int = 10) -> Column:
+    """Number of the time slice a timestamp falls in, as a block. Narrow slices split busy keys further."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(minutes * 60_000_000))
+
+
+def _with_edges(df: DataFrame, edges: DataFrame, first: bool) -> DataFrame:
+    """Add one row per (key, block) that sorts before or after all rows of its block.
+
+    The edge rows bring what the other blocks of the key contribute, in the same shuffle.
+    """
+    return df.withColumn("_side", F.lit(1)).unionByName(
+        edges.withColumn("_side", F.lit(0 if first else 2)), allowMissingColumns=True)
+
+
 def running(df: DataFrame, keys, order, block: str, sums: dict, exclusive: bool = False) -> DataFrame:
     """Running sums per key. ``sums`` maps a new name to the column summed."""
     keys = as_list(keys)
     by = keys + [block]
     totals = df.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*by, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}")
-                                   for n in sums])
-    end = -1 if exclusive else W.currentRow
-    inside = W.partitionBy(*by).orderBy(*as_list(order)).rowsBetween(W.unboundedPreceding, end)
-    local = {n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
-    out = df.select("*", *[v.alias(f"_l_{n}") for n, v in local.items()])
-    out = attach(out, carried, by)
-    out = out.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums})
-    return out.drop(*[f"{p}{n}" for n in sums for p in ("_l_", "_c_")])
+    edges = totals.select(*by, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_v_{n}") for n in sums])
+    rows = df.select("*", *[F.col(c).cast(edges.schema[f"_v_{n}"].dataType).alias(f"_v_{n}") for n, c in sums.items()])
+    inside = W.partitionBy(*by).orderBy("_side", *as_list(order)).rowsBetween(W.unboundedPreceding, -1 if exclusive else W.currentRow)
+    out = _with_edges(rows, edges, first=True).select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in sums])
+    return out.where("_side = 1").select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in sums])
 
 
 def numbered(df: DataFrame, keys, order, block: str, name: str = "row_num") -> DataFrame:
     """row_number per key."""
-    keys = as_list(keys)
-    by = keys + [block]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    carried = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*by).orderBy(*as_list(order))
-    out = attach(df.withColumn("_rn", F.row_number().over(inside)), carried, by)
-    return out.withColumn(name, (F.col("_rn") + F.col("_base")).cast("bigint")).drop("_rn", "_base")
+    out = running(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, block, {name: "_one"})
+    return out.drop("_one")
 
 
 def neighbour(df: DataFrame, keys, order, block: str, take: dict, step: str = "lag") -> DataFrame:
@@ -84,18 +90,17 @@ def neighbour(df: DataFrame, keys, order, block: str, take: dict, step: str = "l
     """
     keys, order = as_list(keys), as_list(order)
     by = keys + [block]
+    lag = step == "lag"
     row = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
     position = F.struct(*[F.col(c) for c in order])
-    edge = (F.max_by if step == "lag" else F.min_by)(row, position)
-    near = F.lag if step == "lag" else F.lead
-    edges = df.groupBy(*by).agg(edge.alias("_edge"))
-    across = W.partitionBy(*keys).orderBy(block)
-    carried = edges.select(*by, near("_edge").over(across).alias("_carried"))
-    inside = W.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("_near", near(row).over(inside))
-    out = attach(out, carried, by)
-    out = out.withColumns({n: F.coalesce("_near", "_carried")[n] for n in take})
-    return out.drop("_near", "_carried")
+    edge = (F.max_by if lag else F.min_by)(row, position)
+    near = F.lag if lag else F.lead
+    last = df.groupBy(*by).agg(edge.alias("_edge"))
+    edges = last.select(*by, near("_edge").over(W.partitionBy(*keys).orderBy(block)).alias("_row"))
+    inside = W.partitionBy(*by).orderBy("_side", *order)
+    out = _with_edges(df.withColumn("_row", row), edges, first=lag).withColumn("_near", near("_row").over(inside))
+    kept = [c for c in df.columns if c not in take]
+    return out.where("_side = 1").select(*kept, *[F.col("_near")[n].alias(n) for n in take])
 
 
 def ranked(df: DataFrame, keys, value: str, descending: bool = False, block: str | None = None,

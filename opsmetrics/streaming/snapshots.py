@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import instant_micros, safe_div
 from ..operators.ranking import latest_per_key
-from ..operators.windows import as_list, neighbour, running
+from ..operators.windows import as_list, neighbour, running, time_block
 from ..session import checkpoint_dir
 
 
@@ -97,7 +97,7 @@ def sliding(stream: DataFrame, ts: str, width: str, slide: str, keys, aggs: list
 def activity_sessions(df: DataFrame, key: str, ts: str, gap: str, delay: str = "1 hour", id_col: str | None = None) -> DataFrame:
     """Runs of activity with no pause of ``gap`` or more; the end is the last event plus the gap.
 
-    A stream uses session windows. In batch the same runs come from windows cut by day, so
+    A stream uses session windows. In batch the same runs come from windows cut by time, so
     the events of one busy key spread over many tasks; ``id_col`` tells events of one time apart.
     """
     if df.isStreaming:
@@ -105,10 +105,10 @@ def activity_sessions(df: DataFrame, key: str, ts: str, gap: str, delay: str = "
                 .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events"))
     order = [ts] + ([id_col] if id_col else [])
     span = F.expr(f"interval {gap}")
-    rows = df.select(key, *order, F.col(ts).cast("date").alias("_day"))
-    rows = neighbour(rows, key, order, "_day", {"_before": ts})
+    rows = df.select(key, *order, time_block(ts).alias("_slice"))
+    rows = neighbour(rows, key, order, "_slice", {"_before": ts})
     fresh = F.col("_before").isNull() | (F.col(ts) >= F.col("_before") + span)
-    rows = running(rows.withColumn("_fresh", fresh.cast("int")), key, order, "_day", {"_session": "_fresh"})
+    rows = running(rows.withColumn("_fresh", fresh.cast("int")), key, order, "_slice", {"_session": "_fresh"})
     return (rows.groupBy(key, "_session").agg(F.min(ts).alias("session_start"), (F.max(ts) + span).alias("session_end"), F.count(F.lit(1)).alias("events"))
             .drop("_session"))
 
