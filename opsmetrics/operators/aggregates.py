@@ -53,7 +53,3 @@ def joined_text(df: DataFrame, keys, order, text, name: str, separator: str = ",
 def pivot(df: DataFrame, keys, column: str, values: list, agg: Column) -> DataFrame:
     return df.groupBy(*as_list(keys)).pivot(column, values).agg(agg)
 
-
-def resalted(df: DataFrame, keys, salt_on, n: int) -> DataFrame:
-    """Adds ``_salt`` in 0..n-1 so that a hot key can be grouped in two steps."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*as_list(salt_on)), F.lit(n)))

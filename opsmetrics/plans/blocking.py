@@ -73,36 +73,33 @@ def chains(edges: DataFrame, keys=None, cut: Column | None = None, with_path: bo
     Returns keys, sid, head, level and, if asked, the path of ids from the head down.
     """
     keys = as_list(keys)
-    stop = F.coalesce(cut, F.lit(False)) if cut is not None else F.lit(False)
-    extra = {"path": F.array("sid")} if with_path else {}
+    lost = F.coalesce(F.col("blk") == F.col("sid"), F.lit(False))
+    if cut is not None:
+        stops = edges.where(cut).select(*keys, F.col("sid").alias("blk")).distinct().withColumn("_stop", F.lit(True))
+        edges = edges.join(stops, keys + ["blk"], "left")
+        lost = lost | F.col("_stop").isNotNull()
     free = ~is_blocked()
-    loop = F.coalesce(F.col("blk") == F.col("sid"), F.lit(False))
-    state = edges.select(*keys, "sid", F.when(~free & ~loop, F.col("blk")).alias("up"),
-                         F.when(free, 0).otherwise(1).cast("bigint").alias("level"),
-                         F.when(free, F.col("sid")).alias("head"), stop.alias("stop"),
-                         *[c.alias(n) for n, c in extra.items()])
-    state = materialise(state)
-    first, closed_before = True, -1
+    extra = {"path": F.array("sid")} if with_path else {}
+    state = materialise(edges.select(*keys, "sid", F.when(~free & ~lost, F.col("blk")).alias("up"),
+                                     F.when(free, 0).otherwise(1).cast("bigint").alias("level"),
+                                     F.when(free, F.col("sid")).alias("head"), *[c.alias(n) for n, c in extra.items()]))
+    closed_before = -1
     while True:
         closed = state.where("up is null").count()
         if closed == closed_before or state.where("up is not null").isEmpty():
             break
         closed_before = closed
-        state, first = materialise(_jump(state, keys, first, with_path)), False
-    return state.where("head is not null").drop("up", "stop")
+        state = materialise(_jump(state, keys, with_path))
+    return state.where("up is null and head is not null").drop("up")
 
 
-def _jump(state: DataFrame, keys: list, first: bool, with_path: bool) -> DataFrame:
+def _jump(state: DataFrame, keys: list, with_path: bool) -> DataFrame:
     """Replace each pointer by the pointer of the session it names."""
-    over = state.select(*keys, F.col("sid").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"),
-                        F.col("head").alias("_head"), F.col("stop").alias("_stop"),
-                        *([F.col("path").alias("_path")] if with_path else []))
+    path = ["path"] if with_path else []
+    over = state.select(*keys, F.col("sid").alias("up"), *[F.col(c).alias(f"_{c}") for c in ["up", "level", "head"] + path])
     moved = state.where("up is not null").join(over, keys + ["up"], "inner")
-    if first:  # a stopped blocker ends the chains right below it
-        moved = moved.where("not _stop")
     moved = moved.select(*keys, "sid", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level"),
-                         F.col("_head").alias("head"), "stop",
-                         *([F.concat("_path", "path").alias("path")] if with_path else []))
+                         F.col("_head").alias("head"), *[F.concat("_path", "path").alias("path") for _ in path])
     return state.where("up is null").unionByName(moved)
 
 

@@ -12,6 +12,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split skewed join partitions even where that costs one more shuffle later.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Longer top-n lists are sorted on the cluster, not gathered on the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 

@@ -42,9 +42,11 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(name, spark, con, sf_dir, queries, oracles):
+def compare(name, spark, con, sf_dir, queries, oracles, check=None):
     t0 = time.time()
     df = queries[name](spark, sf_dir)
+    if check:
+        check(df)
     got = rows_of(df.columns, df.collect())
     secs = time.time() - t0
     if name not in oracles:

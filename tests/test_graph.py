@@ -76,6 +76,27 @@ def test_chains_stop_below_parallel_waits(spark):
     assert got == {(1, 0), (2, 1), (4, 1)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_chains_against_brute_force(spark, seed):
+    rng = random.Random(100 + seed)
+    rows = random_graph(100 + seed)
+    kind = {s: rng.choice(["CXPACKET", "LCK_M_S", "LCK_M_X", None]) for s, _ in rows}
+    up = dict(rows)
+    blockers = {b for b in up.values() if b}
+
+    def chain(s):
+        at, level = s, 0
+        while up.get(at) and up[at] != at and level < len(up):
+            at, level = up[at], level + 1
+            if at in up and kind[at] == "CXPACKET":
+                return None
+        return (at, level) if at in up and not up[at] and at in blockers else None
+
+    want = {s: chain(s) for s in up if chain(s)}
+    df = spark.createDataFrame([(s, b, 1, kind[s]) for s, b in rows], "sid bigint, blk bigint, wait_ms bigint, wait_type string")
+    assert {r.sid: (r.head, r.level) for r in B.blocking_hierarchy(df).collect()} == want
+
+
 def test_captures_do_not_mix(spark):
     df = spark.createDataFrame([("a", 1, 0, 5, "X"), ("a", 2, 1, 5, "X"), ("b", 1, 2, 5, "X"), ("b", 2, 0, 5, "X")],
                                "runtime string, sid bigint, blk bigint, wait_ms bigint, wait_type string")

@@ -14,9 +14,18 @@ def con():
     return duck(SF)
 
 
+COSTLY = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas", "MapInArrow")
+
+
+def check_plan(df):
+    """No cross joins and no Python in any plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in COSTLY if word in plan]
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, con):
-    status, _, detail = compare(name, spark, con, SF, QUERIES, ORACLES)
+    status, _, detail = compare(name, spark, con, SF, QUERIES, ORACLES, check_plan)
     assert detail is None, f"{status}: {detail}"
 
 

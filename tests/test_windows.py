@@ -103,3 +103,14 @@ def test_either_key_join_counts_a_pair_once(spark):
     b = spark.createDataFrame([(1,), (2,)], "k int")
     got = sorted((r.id, r.k) for r in J.either_key_join(a, b, [("x", "k"), ("y", "k")]).collect())
     assert got == [(1, 1), (2, 1), (2, 2), (3, 2)]
+
+
+def test_a_hot_key_is_spread(spark, rows):
+    """The rows of one key end up in several tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (X.running(rows, "key", ["at", "id"], "block", {"s": "v"}), X.neighbour(rows, "key", ["at", "id"], "block", {"near": "id"})):
+            tasks = out.where("key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+            assert tasks > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
