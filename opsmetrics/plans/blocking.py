@@ -85,8 +85,8 @@ def chains(edges: DataFrame, keys=None, cut: Column | None = None, with_path: bo
                                      F.when(free, F.col("sid")).alias("head"), *[c.alias(n) for n, c in extra.items()]))
     closed_before = -1
     while True:
-        closed = state.where("up is null").count()
-        if closed == closed_before or state.where("up is not null").isEmpty():
+        closed, still_open = state.agg(F.count_if(F.col("up").isNull()), F.count("up")).first()
+        if closed == closed_before or not still_open:
             break
         closed_before = closed
         state = materialise(_jump(state, keys, with_path))

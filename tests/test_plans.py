@@ -161,3 +161,31 @@ def test_session_filters(spark):
     ids = lambda **k: sorted(r.session_id for r in sessions.session_report(df, **k).collect())
     assert ids() == [1, 2] and ids(sleeping=2) == [1, 2, 3] and ids(sleeping=0) == [1]
     assert ids(kind="program", pattern="app\\_a") == [1] and ids(not_kind="program", not_pattern="app%", sleeping=2) == [3] and ids(pattern=0, sleeping=2) == [1, 2, 3]
+
+
+def test_small_reports(spark):
+    from opsmetrics.operators import sets
+    from opsmetrics.plans import blocking
+
+    requests = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "sid int, blk int")
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "session_id int, text string")
+    assert [(r.sid, r.text) for r in blocking.blocked_processes(requests, texts).collect()] == [(2, "b")]
+
+    commands = spark.createDataFrame([(5, 1), (5, 1), (5, 2), (6, 1)], "xact_seqno bigint, publisher_database_id int")
+    assert replication.commands_of(commands, 5, 1).first().command_count == 2
+
+    tasks = spark.createDataFrame([(1, "THREADPOOL"), (2, "WRITELOG")], "session_id int, wait_type string")
+    assert [r.session_id for r in sessions.threadpool_waits(tasks).collect()] == [1]
+
+    users = spark.createDataFrame([(1, "h", "l", 2), (2, "h", "l", 9)], "session_id int, host_name string, login_name string, isolation_level int")
+    trans = spark.createDataFrame([(1, 10), (2, 11)], "session_id int, transaction_id int")
+    assert sorted((r.session_id, r.isolation_level) for r in sessions.snapshot_transactions(trans, users).collect()) == [(1, "ReadCommitted"), (2, None)]
+
+    locks = spark.createDataFrame([(1, "d", "o", "KEY", "X", "GRANT"), (1, "d", "o", "KEY", "X", "GRANT"), (1, "d", None, "PAGE", "S", "WAIT")],
+                                  "session_id int, database_name string, object_name string, resource_type string, request_mode string, request_status string")
+    assert sorted((r.object_name, r.request_count) for r in sessions.lock_counts(locks).collect()) == [("(null)", 1), ("o", 2)]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, city string")
+    assert sorted(r.id for r in sets.drop_dup_key(rows, "city", "id").collect()) == [1, 3]
+    kept, rejected = sets.split_dup_key(rows, "city", "id")
+    assert sorted(r.id for r in kept.collect()) == [1, 3] and [r.id for r in rejected.collect()] == [2]
