@@ -157,25 +157,43 @@ def _grace(memory: int):
     return run
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY,
-                 carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256, and the columns in ``carry``."""
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     norm = F.translate(text, WHITE_SPACE, "")
-    carried = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(carry or [])}
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"),
+    return df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"),
                      F.length(text).cast("bigint").alias("chars"), F.sha2(norm, 256).alias("sha"),
-                     F.xxhash64(norm).alias("h"), norm.alias("norm"), *[c.alias(n) for n, c in carried.items()])
+                     F.xxhash64(norm).alias("h"), norm.alias("norm"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def _combined(rows: DataFrame, memory: int) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("rep", T.LongType())])
-    combined = materialise(rows.mapInArrow(_combine(memory), schema))
-    passed_on = combined.where("norm is not null").select("rep", "h", "norm")
-    groups = materialise(passed_on.repartition("h").mapInArrow(_grace(memory), "rep bigint, gid bigint"))
+    return rows.mapInArrow(_combine(memory), schema)
+
 
+def _settled(combined: DataFrame, passed_on: DataFrame, memory: int) -> DataFrame:
+    """``rep``, group_size and the row that stays (``best``) for every row passed on."""
+    groups = materialise(passed_on.repartition("h").mapInArrow(_grace(memory), "rep bigint, gid bigint"))
     place = F.struct((-F.col("chars")).alias("longest"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
     per_rep = combined.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best"))
     per_group = groups.join(per_rep, "rep").groupBy("gid").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
-    settled = groups.join(per_group, "gid").select("rep", "group_size", "best")
+    return groups.join(per_group, "gid").select("rep", "group_size", "best")
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+    """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256."""
+    combined = materialise(_combined(_rows(df, id_col, text_col).drop("row"), memory))
+    settled = _settled(combined, combined.where("norm is not null").select("rep", "h", "norm"), memory)
     return combined.drop("norm", "h").join(settled, "rep").select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"),
-        *[F.col(n).alias(c) for n, c in zip(carried, carry or [])])
+        (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+    """The rows of ``df`` that stay, one of each group, with all their columns."""
+    combined = _combined(_rows(df, id_col, text_col), memory)
+    # Whole rows are written, so the normalised text is made again where it is needed.
+    combined = materialise(combined.withColumn("first", F.col("norm").isNotNull()).drop("norm", "sha"))
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    passed_on = combined.where("first").select("rep", "h", F.translate(text, WHITE_SPACE, "").alias("norm"))
+    stay = _settled(combined.drop("row"), passed_on, memory).select(F.col("best.uid").alias("uid")).distinct()
+    return combined.select("uid", "row").join(stay, "uid").select("row.*")

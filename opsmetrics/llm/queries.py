@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .decontaminate import report
 from .exact_dedup import exact_groups
+from .packing import pack
 from .sharding import shard
 from .simhash import near_duplicates
 
@@ -25,10 +28,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer() -> str:
+    """The tokenizer file that the packing query uses; it lies at the same place on all machines."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Words of a text as op2 takes them; A-Z are folded one by one, other letters stay.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op2_decontaminate", f"""
+    WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS k,
+                    array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
+             FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0),
+    docs AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents),
+    sizes AS (SELECT DISTINCT k FROM wins),
+    grams AS (SELECT rn, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS win
+              FROM docs, sizes, unnest(range(1, len(w) - k + 2)) AS r(i)),
+    hits AS (SELECT DISTINCT g.rn, g.i, g.k, item_id FROM grams g JOIN wins USING (k, win)),
+    found AS (SELECT rn, count(DISTINCT item_id) AS n_items,
+                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY rn),
+    covered AS (SELECT rn, count(DISTINCT at) AS n_hit FROM hits, unnest(range(i, i + k)) AS r(at) GROUP BY rn)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN found USING (rn) LEFT JOIN covered USING (rn)""")
+def op2(spark, sf_dir):
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op4_sharding")
 def op4(spark, sf_dir):
     out = shard(table(spark, sf_dir, "documents"), shards=24)
@@ -38,7 +82,12 @@ def op4(spark, sf_dir):
 
 @query("op6_simhash")
 def op6(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 @query("op8_exact_dedup", r"""

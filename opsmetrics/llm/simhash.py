@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .components import components, union_find
@@ -125,20 +126,35 @@ def links(fingerprints: DataFrame, distance: int = 2) -> DataFrame:
     return counted.mapInArrow(_verify(kept, distance), "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2,
-                    carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``df``: id, fingerprint, component_id, and the columns in ``carry``."""
-    carried = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(carry or [])}
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in carried.items()],
+def _printed(df: DataFrame, id_col: str, text_col: str, words: int, whole: bool) -> DataFrame:
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"),
+                     *[F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * whole,
                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    schema = rows.drop("text").select("*", F.lit(0).cast("bigint").alias("fp")).schema
-    printed = materialise(rows.mapInArrow(_fingerprints(words), schema))
-    distinct = materialise(printed.groupBy("fp").agg(F.min("id").alias("least")))
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "text"]
+    return materialise(rows.mapInArrow(_fingerprints(words), T.StructType([*fields, T.StructField("fp", T.LongType())])))
+
+
+def _first_of_component(printed: DataFrame, distance: int) -> DataFrame:
+    """Each distinct fingerprint with the first row of its component: smallest id, null ids last, then row number."""
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
+    distinct = materialise(printed.groupBy("fp").agg(F.min(place).alias("first")))
     found = components(materialise(links(distinct.select("fp"), distance)))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(labels, "root").select("fp", "component_id")
-    return printed.join(labelled, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        *[F.col(n).alias(c) for n, c in zip(carried, carry or [])])
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.drop("first").join(firsts, "root").select("fp", "first")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """One row per row of ``df``: id, fingerprint, component_id, and whether it is the first of its component."""
+    printed = _printed(df, id_col, text_col, words, whole=False)
+    return printed.join(_first_of_component(printed, distance), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.id").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("kept"))
+
+
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """The first row of each component, with all its columns."""
+    printed = _printed(df, id_col, text_col, words, whole=True)
+    stay = _first_of_component(printed.drop("row"), distance).select(F.col("first.uid").alias("uid")).distinct()
+    return printed.select("uid", "row").join(stay, "uid").select("row.*")
