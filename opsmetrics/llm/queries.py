@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontaminate import report
 from .exact_dedup import exact_groups
+from .html_text import main_text
 from .packing import pack
 from .sharding import shard
 from .simhash import near_duplicates
+from .url_filters import RULES, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +58,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
     hits AS (SELECT DISTINCT g.rn, g.i, g.k, item_id FROM grams g JOIN wins USING (k, win)),
     found AS (SELECT rn, count(DISTINCT item_id) AS n_items,
                      string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY rn),
-    covered AS (SELECT rn, count(DISTINCT at) AS n_hit FROM hits, unnest(range(i, i + k)) AS r(at) GROUP BY rn)
+    covered AS (SELECT rn, count(DISTINCT pos) AS n_hit FROM hits, unnest(range(i, i + k)) AS r(pos) GROUP BY rn)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
            sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM docs LEFT JOIN found USING (rn) LEFT JOIN covered USING (rn)""")
@@ -80,6 +82,11 @@ def op4(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op6_simhash")
 def op6(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("kept")
@@ -98,3 +105,8 @@ def op7(spark, sf_dir):
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""")
 def op8(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_url_filters")
+def op10(spark, sf_dir):
+    return judge(table(spark, sf_dir, "pages"), RULES).withColumn("mined", F.array_join("mined", " "))
