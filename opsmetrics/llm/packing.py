@@ -16,8 +16,11 @@ packed on its own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,10 @@ END = 1
 FEATURES = 256
 DIMENSIONS = 3
 BITS = 16  # a dimension
-CACHE = 300_000
+CACHE = 600_000  # words
+TOGETHER = 256
+#: Fixed value: the words of the tokenizer in lower-cased UTF-8 whose other characters are all letters.
+WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\s0-9a-z\x80-\xff]+")
 _LOCAL = 33  # low bits of monotonically_increasing_id
 
 
@@ -65,28 +71,70 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer drops white space and never joins across it, so the ids of each
-    run without ASCII white space are looked up, and encoded at the first meeting only."""
+    """Token ids of whole texts, by a tokenizer that marks word ends and drops white space.
+
+    Texts of ASCII and of other letters are cut into the tokenizer's own words by ``WORDS``. The ids of each word
+    are looked up; new words are encoded many at a time and told apart by the word ends. Texts with other
+    characters, or with a special token's opening, go through the tokenizer as they are. Either way the ids are
+    those of the tokenizer on the whole text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            raise ValueError("the tokenizer must mark word ends")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
         self.known: dict[bytes, bytes] = {}
+        self.letters = {chr(c) for c in range(128)}
         self.end = np.array([END], self.kind).tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        runs, known = text.split(), self.known
-        new = list(set(runs).difference(known))
-        if new:
-            found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in new], add_special_tokens=False)
-            for run, encoding in zip(new, found):
-                known[run] = np.array(encoding.ids, self.kind).tobytes()
-        out = b"".join(map(known.__getitem__, runs)) + self.end
-        if len(known) > CACHE:
-            known.clear()
-        return out
+    def _plain(self, data: bytes) -> bool:
+        """Whether the words of a text can be looked up."""
+        if b"<|" in data:
+            return False
+        if data.isascii():
+            return True
+        text = data.decode("utf-8", "replace")
+        new = set(text).difference(self.letters)
+        if not all(c.isalpha() and c.lower().isalpha() for c in new):
+            return False
+        self.letters |= new
+        return is_normalized("NFC", text)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, new: list[bytes]) -> None:
+        width = self.kind.itemsize
+        for at in range(0, len(new), TOGETHER):
+            part = new[at:at + TOGETHER]
+            raw = self._encode([b" ".join(part)])[0]
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.kind)]) + 1) * width).tolist()
+            if len(cuts) != len(part):
+                self.known.update(zip(part, self._encode(part)))
+                continue
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        plain = [self._plain(t) for t in texts]
+        words = [WORDS.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        self._learn(list({flat[i] for i in missing}))
+        for i in missing:
+            ids[i] = self.known[flat[i]]
+        odd = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
+        taken = iter(ids)
+        return [(b"".join(islice(taken, len(w))) if p else next(odd)) + self.end for w, p in zip(words, plain)]
 
 
 def directions(seed: int = 0) -> np.ndarray:
@@ -105,9 +153,9 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                data = [encoder(t.as_buffer().to_pybytes()) for t in part.column("text")]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                data = encoder([t.as_buffer().to_pybytes() for t in part.column("text")])
                 ids = [np.frombuffer(d, encoder.kind) for d in data]
                 yield pa.RecordBatch.from_pydict({
                     "uid": part.column("uid"), "id": part.column("id"), "key": pa.array(keys(ids), pa.int64()),

@@ -33,7 +33,7 @@ def test_encoder_is_the_tokenizer():
     plain, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
     for text in texts():
         want = plain.encode(text or "", add_special_tokens=False).ids + [1]
-        assert np.frombuffer(encoder((text or "").encode()), encoder.kind).tolist() == want
+        assert np.frombuffer(encoder([(text or "").encode()])[0], encoder.kind).tolist() == want
 
 
 @pytest.mark.parametrize("length", [64, 2048])
