@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 6
 MAX_ROWS = 8_000
-MAX_CHARS = 30_000_000
+MAX_CHARS = 20_000_000
 THRESHOLD = 0.7
 CACHE = 400_000
 _WORD = re.compile(r"\w+")
@@ -78,24 +79,28 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
     rows = [np.fromiter((codes.setdefault(w, len(codes)) for w in t), np.int32, len(t)) for t in texts]
     if len(set(toxic)) < 2 or not codes:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    grams = [subwords(w) for w in codes]
-    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-    flat = np.concatenate([np.asarray(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
-    used, flat = np.unique(flat, return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    ends = np.cumsum(sizes)
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    tokens = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+    flat, sizes = array("i"), array("i")
+    for word in codes:
+        grams = subwords(word)
+        flat.extend(grams)
+        sizes.append(len(grams))
+    flat, sizes = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
+    used = np.bincount(flat, minlength=BUCKETS) > 0
+    del codes
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    lengths = np.fromiter(map(len, rows), np.int32, len(rows))
+    tokens = np.concatenate(rows)
+    del rows
     # First words of all windows, row after row.
     n_windows = np.maximum(lengths - WINDOW + 1, 1)
-    row_of = np.repeat(np.arange(len(rows)), n_windows)
-    first_window = np.concatenate(([0], np.cumsum(n_windows)[:-1]))
-    row_start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    begin = np.arange(len(row_of)) - first_window[row_of] + row_start[row_of]
-    width = np.minimum(lengths, WINDOW)[row_of]
+    first_window = np.cumsum(n_windows) - n_windows
+    row_of = np.repeat(np.arange(len(lengths), dtype=np.int32), n_windows)
+    begin = np.arange(len(row_of), dtype=np.int32) + np.repeat((np.cumsum(lengths) - lengths - first_window).astype(np.int32), n_windows)
+    width = np.minimum(lengths, WINDOW).astype(np.int8)[row_of]
 
     random = np.random.default_rng(seed)
-    vectors = random.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    vectors = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     softmax = random.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     y = np.asarray(toxic, np.float32)
@@ -110,9 +115,9 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
         at_best = np.flatnonzero(means == best[row_of])
         pick = at_best[np.unique(row_of[at_best], return_index=True)[1]]
         p = sigmoid(best + bias[1] - bias[0])
-        error = (p - y) / len(rows)
+        error = (p - y) / len(lengths)
         # The words of the deciding windows take the gradient.
-        reach = width[pick]
+        reach = width[pick].astype(np.int64)
         of = np.repeat(np.arange(len(pick)), reach)
         inside = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(reach)[:-1])), reach)
         word = tokens[begin[pick][of] + inside]
@@ -120,7 +125,7 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
         hot = np.flatnonzero(share)
         spread = np.repeat(share[hot] / sizes[hot], sizes[hot])
         where = flat[np.concatenate([np.arange(starts[h], ends[h]) for h in hot])] if len(hot) else np.zeros(0, np.int64)
-        per_bucket = np.bincount(where, spread, len(used)).astype(np.float32)
+        per_bucket = np.bincount(where, spread, BUCKETS).astype(np.float32)
         slope = vectors.T @ per_bucket
         gradients = (per_bucket[:, None] * difference[None, :], np.stack([-slope, slope], 1),
                      np.array([-error.sum(), error.sum()], np.float32))
@@ -128,9 +133,7 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
             mean += 0.1 * (gradient - mean)
             square += 0.001 * (gradient * gradient - square)
             parameter -= rate * (mean / (1 - 0.9 ** turn)) / (np.sqrt(square / (1 - 0.999 ** turn)) + 1e-8)
-    values = np.zeros(BUCKETS, np.float32)
-    values[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(values, float(bias[1] - bias[0]))
+    return Model(np.where(used, vectors @ (softmax[:, 1] - softmax[:, 0]), 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
 class Scorer:
