@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import language_id, toxicity
 from .decontaminate import report
 from .exact_dedup import exact_groups
 from .html_text import main_text
 from .packing import pack
 from .sharding import shard
 from .simhash import near_duplicates
-from .url_filters import RULES, judge
+from .substring_dedup import repeated_passages
+from .url_filters import RULES, host_of, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 #: Words of a text as op2 takes them; A-Z are folded one by one, other letters stay.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -107,6 +113,17 @@ def op8(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, likelihoods = language_id.train(docs)
+    none = F.lit(None).cast("bigint")
+    rows = docs.select(F.struct("doc_id", none.alias("page_id")).alias("row"), F.col("source").alias("host"), "text", F.lit(False).alias("markup"))
+    rows = rows.union(pages.select(F.struct(none.alias("doc_id"), "page_id"), host_of(F.col("url")), "html", F.lit(True)))
+    out = language_id.identify(rows, langs, likelihoods)
+    return out.select("row.doc_id", "row.page_id", "lang", "posterior", "text_lang", "declared")
+
+
 @query("op10_url_filters")
 def op10(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"), RULES).withColumn("mined", F.array_join("mined", " "))
