@@ -104,12 +104,14 @@ def decode(value, mapping: dict, default=None) -> Column:
 
 # --- matching --------------------------------------------------------------
 
-def like(value, pattern: str, escape: str = "\\", ignore_case: bool = False) -> Column:
-    """``%`` and ``_`` wildcards with an escape character."""
+def like(value, pattern: str, escape: str | None = None, ignore_case: bool = False) -> Column:
+    """``%`` and ``_`` wildcards. Without ``escape`` every other character, a backslash too, stands for itself."""
     value = col(value)
     if ignore_case:
         value, pattern = F.lower(value), pattern.lower()
-    return F.like(value, F.lit(pattern), F.lit(escape))
+    # Spark's LIKE always has an escape character; one that the pattern lacks escapes nothing.
+    unused = next(c for c in map(chr, range(1, 1 << 16)) if c not in pattern)
+    return F.like(value, F.lit(pattern), F.lit(escape or unused))
 
 
 def since(ts, n: int, unit: str, as_of) -> Column:
@@ -170,7 +172,9 @@ def path_prefix(path, separator: str, nth: int) -> Column:
 
 
 def pad_left(value, width: int, fill: str = "0") -> Column:
-    return F.lpad(col(value).cast("string"), width, fill)
+    """Pad to ``width``; longer values stay whole."""
+    text = col(value).cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))
 
 
 # --- dates and times -------------------------------------------------------
@@ -229,9 +233,9 @@ def hhmmss_seconds(packed) -> Column:
 
 
 def clock_text(packed) -> Column:
-    """Packed HHMMSS to ``HH:MM:SS``."""
-    digits = pad_left(packed, 6)
-    return F.concat_ws(":", F.substring(digits, 1, 2), F.substring(digits, 3, 2), F.substring(digits, 5, 2))
+    """Packed HHMMSS to ``HH:MM:SS``; 100 hours and more keep all their digits."""
+    packed = col(packed).cast("bigint")
+    return F.concat_ws(":", pad_left(int_div(packed, 10000), 2), pad_left(int_div(packed % 10000, 100), 2), pad_left(packed % 100, 2))
 
 
 def format_duration(value, style: str = "hms") -> Column:

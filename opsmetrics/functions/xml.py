@@ -84,10 +84,18 @@ def xml_query(text, tag: str) -> Column:
 
 def explode_events(df: DataFrame, xml: str, tag: str = "event", schema: str = EVENT_SCHEMA,
                    outer: bool = False) -> DataFrame:
-    """One row per ``tag`` element of a document that holds many."""
-    doc = F.from_xml(col(xml), f"{tag} array<struct<{_as_fields(schema)}>>", {"mode": "PERMISSIVE"})
+    """One row per ``tag`` element of a document that holds many.
+
+    A document that does not parse gives one row with a null element and its text in ``corrupt``.
+    """
+    element = f"struct<{_as_fields(schema)}>"
+    doc = F.from_xml(col(xml), f"{tag} array<{element}>, {CORRUPT} string",
+                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     generator = F.explode_outer if outer else F.explode
-    return df.withColumn(tag, generator(doc[tag]))
+    # The one-element explode keeps later steps from repeating the parse.
+    parsed = df.withColumn("_doc", F.explode(F.array(doc))).withColumn("corrupt", F.col(f"_doc.{CORRUPT}"))
+    listed = F.when(F.col("corrupt").isNotNull(), F.array(F.lit(None).cast(element))).otherwise(F.col(f"_doc.{tag}"))
+    return parsed.withColumn(tag, generator(listed)).drop("_doc")
 
 
 def _as_fields(schema: str) -> str:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 from .ranking import top_k_per_group
 from .windows import as_list
 
@@ -103,7 +105,8 @@ def contains_join(df: DataFrame, names: DataFrame, text: str, name: str, few: in
 
     Up to ``few`` names are folded into the plan as a list. More names than that are
     matched by an equality join: each text gives off its substrings of the lengths
-    that occur among the names, one row each. Repeats of a result row are dropped.
+    that occur among the names, one row number and substring each, and the rows are joined
+    back at the end. Both ways give the same rows; repeated input rows are kept.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     known = names.where((F.col(name).isNotNull()) & (F.length(name) > 0))
@@ -114,13 +117,13 @@ def contains_join(df: DataFrame, names: DataFrame, text: str, name: str, few: in
         found = df.withColumn("_name", F.explode(hits))
         return found.join(known, F.col("_name") == F.col(name), "inner").drop("_name")
     lengths = sorted(r[0] for r in known.select(F.length(name)).distinct().collect())
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    grams = (rows.select("_row", fold(F.col(text)).alias("_text"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
+             .select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - F.col("_len") + 1, F.lit(1))),
+                                                   lambda at: F.substr("_text", at, F.col("_len")))).alias("_gram")).distinct())
     keyed = known.withColumn("_key", fold(F.col(name)))
-    starts = F.when(F.length(text) >= F.col("_len"), F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1))
-    grams = (df.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
-             .withColumn("_at", F.explode(starts))
-             .withColumn("_gram", F.substr(fold(F.col(text)), F.col("_at"), F.col("_len"))))
-    found = grams.join(keyed, F.col("_gram") == F.col("_key"), "inner")
-    return found.drop("_len", "_at", "_gram", "_key").distinct()
+    hits = grams.join(keyed, F.col("_gram") == F.col("_key"), "inner").drop("_gram", "_key")
+    return rows.join(hits, "_row").drop("_row")
 
 
 def either_key_join(df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -236,7 +236,7 @@ def blocking_tree(history: DataFrame, runtime: str = "runtime", text: str = "bat
                       F.when(F.col("depth") > 0, "|-- ").otherwise(""))
     line = F.concat(F.when(F.col("depth") == 0, banner).otherwise(""), F.col(runtime).cast("string"), F.lit(" " * 17),
                     branch, F.col("sid").cast("string"), F.lit(" "), F.coalesce(one_line(text, " "), F.lit("")))
-    sort_path = F.array_join(F.transform(ids, lambda i: F.lpad(i.cast("string"), width, "0")), "")
+    sort_path = F.array_join(F.transform(ids, lambda i: pad_left(i, width)), "")
     return lines.select(runtime, "anchor", "sid", "depth", sort_path.alias("sort_path"), line.alias("blocking_tree"))
 
 

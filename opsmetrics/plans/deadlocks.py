@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.xml import CORRUPT, xml_query
 from ..session import materialise
 
-# Kinds of resources a deadlock may be about.
-RESOURCE_KINDS = ["keylock", "pagelock", "objectlock", "ridlock", "exchangeEvent", "databaselock", "applicationlock",
-                  "metadatalock", "hobtlock", "allocunitlock", "filelock", "extentlock", "resourceWait", "SyncPoint",
-                  "threadpool", "xactlock"]
 PROCESS_FIELDS = ["id", "spid", "ecid", "status", "taskpriority", "logused", "waitresource", "waittime", "lockMode", "transactionname",
-                  "lasttranstarted", "trancount", "clientapp", "hostname", "hostpid", "loginname", "isolationlevel", "currentdb"]
-RESOURCE_FIELDS = ["id", "dbid", "objectname", "indexname", "hobtid", "associatedObjectId", "mode"]
+                  "lasttranstarted", "trancount", "clientapp", "hostname", "hostpid", "loginname", "isolationlevel", "currentdb", "sbid", "priority", "xactid"]
+RESOURCE_FIELDS = ["id", "dbid", "objectname", "indexname", "hobtid", "associatedObjectId", "mode", "subresource"]
 
 
 def attributes(names) -> str:
@@ -27,12 +23,26 @@ def attributes(names) -> str:
 
 
 _EDGE = "array<struct<_id: string, _mode: string, _requestType: string>>"
-_RESOURCE = f"struct<{attributes(RESOURCE_FIELDS)}, `owner-list`: struct<owner: {_EDGE}>, `waiter-list`: struct<waiter: {_EDGE}>>"
+_RESOURCE = (f"struct<_resource_kind: string, {attributes(RESOURCE_FIELDS)}, owner: {_EDGE}, waiter: {_EDGE}, "
+             f"`owner-list`: struct<owner: {_EDGE}>, `waiter-list`: struct<waiter: {_EDGE}>>")
 _PROCESS = (f"struct<{attributes(PROCESS_FIELDS)}, executionStack: struct<frame: array<struct<_procname: string, _line: string, _VALUE: string>>>, "
             "inputbuf: string>")
 SCHEMA = ("_victim string, `victim-list` struct<victimProcess: array<struct<_id: string>>>, "
           f"`process-list` struct<process: array<{_PROCESS}>>, "
-          f"`resource-list` struct<{', '.join(f'{k}: array<{_RESOURCE}>' for k in RESOURCE_KINDS)}>")
+          f"`resource-list` struct<resource: array<{_RESOURCE}>>")
+_PARTS = "(?:resource-list|owner-list|waiter-list|owner|waiter)"
+_OPEN = rf"""<(?!{_PARTS}[\s/>])([A-Za-z_][\w.:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+_CLOSE = rf"</(?!{_PARTS}\s*>)[A-Za-z_][\w.:-]*\s*>"
+
+
+def one_resource_tag(xml: Column) -> Column:
+    """Every element of the resource list as ``resource``, its own name kept as an attribute.
+
+    Any kind is then read by one schema, in document order.
+    """
+    listed = F.regexp_extract(xml, r"(?s)<resource-list\b[^>]*>.*?</resource-list>", 0)
+    named = F.regexp_replace(F.regexp_replace(listed, _OPEN, '<resource resource_kind="$1"$2>'), _CLOSE, "</resource>")
+    return F.when(listed != "", F.replace(xml, listed, named)).otherwise(xml)
 
 
 @dataclass
@@ -62,7 +72,7 @@ def deadlock_tables(documents: DataFrame, doc_id: str, xml: str, keep: bool = Tr
     without it every table that is used parses anew.
     """
     part = xml_query(xml, "deadlock")
-    parsed = F.from_xml("_part", f"{SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = F.from_xml(one_resource_tag(F.col("_part")), f"{SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     # The one-element explode keeps later filters and selections from repeating the parse.
     docs = documents.select(doc_id, part.alias("_part")).select("*", F.explode(F.array(parsed)).alias("_d"))
     error = (F.when(F.col("_part").isNull(), "no deadlock element").when(F.col(f"_d.{CORRUPT}").isNotNull(), "malformed document")
@@ -83,16 +93,14 @@ def deadlock_tables(documents: DataFrame, doc_id: str, xml: str, keep: bool = Tr
                          F.array_contains("victim_ids", F.col("p._id")).alias("is_victim"),
                          F.coalesce(F.nullif(first, F.lit("")), text).alias("primary_sql"), text.alias("input_sql"), F.array_join(procs, " ").alias("frames"))
 
-    def of_kind(k: str) -> Column:
-        found = F.transform(F.col(f"_d.resource-list.{k}"), lambda r: F.struct(F.lit(k).alias("kind"), r.alias("r")))
-        return F.coalesce(found, F.array().cast(f"array<struct<kind: string, r: {_RESOURCE}>>"))
-
-    kinds = [of_kind(k) for k in RESOURCE_KINDS]
-    r = good.select(doc_id, F.posexplode(F.concat(*kinds)).alias("resource_index", "k"))
-    resources = r.select(doc_id, "resource_index", F.col("k.kind").alias("kind"), *[F.col(f"k.r._{n}").alias(n) for n in RESOURCE_FIELDS])
+    r = good.select(doc_id, F.posexplode("_d.resource-list.resource").alias("resource_index", "r"))
+    resources = r.select(doc_id, "resource_index", F.col("r._resource_kind").alias("kind"), *[F.col(f"r._{n}").alias(n) for n in RESOURCE_FIELDS])
+    none = F.array().cast(_EDGE)
 
     def side(role: str) -> DataFrame:
-        rows = r.select(doc_id, "resource_index", F.explode(f"k.r.{role}-list.{role}").alias("e"))
+        """Owners or waiters of each resource, from its list or directly below it."""
+        found = F.concat(F.coalesce(F.col(f"r.{role}-list.{role}"), none), F.coalesce(F.col(f"r.{role}"), none))
+        rows = r.select(doc_id, "resource_index", F.explode(found).alias("e"))
         return rows.select(doc_id, "resource_index", F.lit(role).alias("role"), F.col("e._id").alias("process_id"), F.col("e._mode").alias("mode"), F.col("e._requestType").alias("request_type"))
 
     return DeadlockTables(graphs.drop("_d"), processes, resources, side("owner").unionByName(side("waiter")))

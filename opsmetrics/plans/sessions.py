@@ -202,7 +202,7 @@ def tran_log_writes(log: DataFrame) -> DataFrame:
 
 def top_wait_per_request(waits: DataFrame, keys=("session_id", "request_id"), tie="task_id") -> DataFrame:
     """One wait per request: lock waits first, then the longest, then the blocked."""
-    order = [F.when(like("wait_type", "LCK\\_%"), 1).otherwise(99), F.desc("wait_time"), F.desc("blocked"), F.asc(tie)]
+    order = [F.when(like("wait_type", "LCK\\_%", escape="\\"), 1).otherwise(99), F.desc("wait_time"), F.desc("blocked"), F.asc(tie)]
     return top_k_per_group(waits, as_list(keys), order, 1)
 
 

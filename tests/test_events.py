@@ -66,3 +66,24 @@ def test_ring_buffer(spark):
     assert explode_events(df, "target_data").count() == 3
     got = [(r.deadlock_time, r.deadlock_graph) for r in E.deadlocks(df, n=1).collect()]
     assert got == [(dt.datetime(2024, 1, 3), '<deadlock victim="b"/>')]
+
+
+def test_resources_of_any_kind_in_document_order(spark):
+    xml = ('<deadlock><victim-list/><process-list><process id="p1" spid="1" priority="5"/><process id="p2" spid="2"/></process-list><resource-list>'
+           '<ridlock id="r" subresource="S"><owner-list><owner id="p1" mode="X"/></owner-list><waiter-list><waiter id="p2" mode="U"/></waiter-list></ridlock>'
+           '<newlock id="n" note="a>b"><owner id="p2" mode="X"/><waiter id="p1" mode="S"/></newlock><threadpool id="t"/></resource-list></deadlock>')
+    from opsmetrics.plans.deadlocks import deadlock_tables
+
+    t = deadlock_tables(spark.createDataFrame([(1, xml)], "d int, x string"), "d", "x")
+    assert [(r["resource_index"], r["kind"], r["id"], r["subresource"]) for r in t.resources.orderBy("resource_index").collect()] == [
+        (0, "ridlock", "r", "S"), (1, "newlock", "n", None), (2, "threadpool", "t", None)]
+    assert sorted((r["resource_index"], r["role"], r["process_id"]) for r in t.edges.collect()) == [
+        (0, "owner", "p1"), (0, "waiter", "p2"), (1, "owner", "p2"), (1, "waiter", "p1")]
+
+
+def test_documents_that_do_not_parse_are_reported(spark):
+    from opsmetrics.functions.xml import explode_events
+
+    docs = spark.createDataFrame([(1, "<r><event name='a'/><event name='b'/></r>"), (2, "<r><event name="), (3, "<r/>")], "i int, x string")
+    got = sorted((r["i"], r["event"]["_name"] if r["event"] else None, r["corrupt"]) for r in explode_events(docs, "x").collect())
+    assert got == [(1, "a", None), (1, "b", None), (2, None, "<r><event name=")]

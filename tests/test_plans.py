@@ -189,3 +189,13 @@ def test_small_reports(spark):
     assert sorted(r.id for r in sets.drop_dup_key(rows, "city", "id").collect()) == [1, 3]
     kept, rejected = sets.split_dup_key(rows, "city", "id")
     assert sorted(r.id for r in kept.collect()) == [1, 3] and [r.id for r in rejected.collect()] == [2]
+
+
+def test_contains_join_gives_the_same_rows_for_few_and_many_names(spark):
+    from opsmetrics.operators.joins import contains_join
+
+    df = spark.createDataFrame([(1, "red apple"), (1, "red apple"), (2, "Green"), (3, None), (4, "")], "i int, t string")
+    names = spark.createDataFrame([("red",), ("app",), ("green",), ("long name that fits nowhere",), (None,), ("",)], "n string")
+    for ignore_case in (False, True):
+        one, other = (sorted(map(tuple, contains_join(df, names, "t", "n", few, ignore_case).collect())) for few in (200, 1))
+        assert one == other and len(one) == 4 + ignore_case

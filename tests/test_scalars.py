@@ -71,4 +71,19 @@ def test_ticks_and_hex(one):
 
 
 def test_like(one):
-    assert one(S.like(F.lit("LCK_M_S"), "LCK\\_%"), S.like(F.lit("LCKXM"), "LCK\\_%"), S.like(F.lit("a%b"), "a!%b", "!"), S.like(F.lit("AB"), "a_", ignore_case=True)) == (True, False, True, True)
+    assert one(S.like(F.lit("LCK_M_S"), "LCK\\_%", "\\"), S.like(F.lit("LCKXM"), "LCK\\_%", "\\"), S.like(F.lit("a%b"), "a!%b", "!"), S.like(F.lit("AB"), "a_", ignore_case=True)) == (True, False, True, True)
+
+
+def test_backslashes_are_plain_and_padding_never_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from opsmetrics.functions import scalars as S
+
+    df = spark.createDataFrame([("CORP\\alice", "D:\\data"), ("CORPalice", "D:data")], "login string, path string")
+    found = df.select(S.like("login", "CORP\\%").alias("a"), S.like("login", "CORP\\alice").alias("b"), S.like("path", "D:\\%").alias("c"))
+    assert [tuple(r) for r in found.collect()] == [(True, True, True), (False, False, False)]
+    escaped = spark.range(1).select(S.like(F.lit("a_c"), "a!_c", escape="!").alias("x"), S.like(F.lit("abc"), "a!_c", escape="!").alias("y"))
+    assert tuple(escaped.first()) == (True, False)
+    one = spark.range(1).select(S.pad_left(F.lit(1234), 2).alias("p"), S.clock_text(F.lit(1003015)).alias("c"),
+                                S.format_duration(F.lit(120 * 86400 * 1000), "days").alias("d")).first()
+    assert tuple(one) == ("1234", "100:30:15", "120 00:00:00.000")
