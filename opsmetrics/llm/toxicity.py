@@ -4,7 +4,9 @@ A word is the average of the vectors of its character n-grams and of itself (has
 buckets), so a misspelling shares most of its vectors with the word it comes from. A window of words is the
 average of its words, and a linear softmax over two classes scores it. A text is scored by its highest window:
 an insult weighs the same in a long text as in a short one. Training fits vectors and softmax together on
-the labels of whole texts; the gradient reaches the window that decided.
+the labels of whole texts. In the first rounds the average of the whole text is scored, so n-grams that mark toxic
+texts stand out wherever they are; after that the gradient reaches the window that decided. Vectors with
+small gradients move slowly, so the rare n-grams of single texts are not learnt by heart.
 
 The model is fitted by the driver on a bounded sample: ``MAX_ROWS`` labelled rows in hash order, at most
 ``MAX_CHARS`` characters of them, and none longer than a fifth of that. Its size is fixed (``BUCKETS`` x
@@ -31,6 +33,9 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 6
+#: Rounds that score whole texts, and the gradient below which a vector moves more slowly.
+WHOLE_ROUNDS = 15
+FLOOR = 2e-5
 MAX_ROWS = 8_000
 MAX_CHARS = 20_000_000
 THRESHOLD = 0.7
@@ -73,8 +78,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: float = 0.3, seed: int = 0) -> Model:
-    """Train on word lists, which are read once before ``toxic`` is. Adam on all rows at once; each row counts through its highest window."""
+def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: float = 0.3, seed: int = 0,
+        whole: int = WHOLE_ROUNDS, floor: float = FLOOR) -> Model:
+    """Train on word lists, which are read once before ``toxic`` is. Adam on all rows at once.
+
+    A row counts through its whole text in the first ``whole`` rounds, then through its highest window.
+    """
     codes: dict[str, int] = {}
     rows = [np.fromiter((codes.setdefault(w, len(codes)) for w in t), np.int32, len(t)) for t in texts]
     if len(set(toxic)) < 2 or not codes:
@@ -91,6 +100,7 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
     starts = ends - sizes
     lengths = np.fromiter(map(len, rows), np.int32, len(rows))
     tokens = np.concatenate(rows)
+    text_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     del rows
     # First words of all windows, row after row.
     n_windows = np.maximum(lengths - WINDOW + 1, 1)
@@ -109,22 +119,26 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
         difference = softmax[:, 1] - softmax[:, 0]
         bucket_values = vectors @ difference
         word_values = np.add.reduceat(bucket_values[flat], starts) / sizes
-        sums = np.concatenate(([0.0], np.cumsum(word_values[tokens], dtype=np.float64)))
-        means = (sums[begin + width] - sums[begin]) / np.maximum(width, 1)
-        best = np.maximum.reduceat(means, first_window)
-        at_best = np.flatnonzero(means == best[row_of])
-        pick = at_best[np.unique(row_of[at_best], return_index=True)[1]]
-        p = sigmoid(best + bias[1] - bias[0])
-        error = (p - y) / len(lengths)
-        # The words of the deciding windows take the gradient.
-        reach = width[pick].astype(np.int64)
-        of = np.repeat(np.arange(len(pick)), reach)
-        inside = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(reach)[:-1])), reach)
-        word = tokens[begin[pick][of] + inside]
-        share = np.bincount(word, error[of] / np.maximum(reach, 1)[of], len(sizes))
+        if turn <= whole:
+            best = np.bincount(text_of, word_values[tokens], len(lengths)) / np.maximum(lengths, 1)
+            error = (sigmoid(best + bias[1] - bias[0]) - y) / len(lengths)
+            share = np.bincount(tokens, (error / np.maximum(lengths, 1))[text_of], len(sizes))
+        else:
+            sums = np.concatenate(([0.0], np.cumsum(word_values[tokens], dtype=np.float64)))
+            means = (sums[begin + width] - sums[begin]) / np.maximum(width, 1)
+            best = np.maximum.reduceat(means, first_window)
+            at_best = np.flatnonzero(means == best[row_of])
+            pick = at_best[np.unique(row_of[at_best], return_index=True)[1]]
+            error = (sigmoid(best + bias[1] - bias[0]) - y) / len(lengths)
+            # The words of the deciding windows take the gradient.
+            reach = width[pick].astype(np.int64)
+            of = np.repeat(np.arange(len(pick)), reach)
+            inside = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(reach)[:-1])), reach)
+            word = tokens[begin[pick][of] + inside]
+            share = np.bincount(word, error[of] / np.maximum(reach, 1)[of], len(sizes))
         hot = np.flatnonzero(share)
         spread = np.repeat(share[hot] / sizes[hot], sizes[hot])
-        where = flat[np.concatenate([np.arange(starts[h], ends[h]) for h in hot])] if len(hot) else np.zeros(0, np.int64)
+        where = flat[np.repeat(starts[hot] - np.cumsum(sizes[hot]) + sizes[hot], sizes[hot]) + np.arange(len(spread))]
         per_bucket = np.bincount(where, spread, BUCKETS).astype(np.float32)
         slope = vectors.T @ per_bucket
         gradients = (per_bucket[:, None] * difference[None, :], np.stack([-slope, slope], 1),
@@ -132,7 +146,7 @@ def fit(texts: Iterable[list[str]], toxic: list[int], rounds: int = 50, rate: fl
         for parameter, gradient, (mean, square) in zip((vectors, softmax, bias), gradients, moments):
             mean += 0.1 * (gradient - mean)
             square += 0.001 * (gradient * gradient - square)
-            parameter -= rate * (mean / (1 - 0.9 ** turn)) / (np.sqrt(square / (1 - 0.999 ** turn)) + 1e-8)
+            parameter -= rate * (mean / (1 - 0.9 ** turn)) / (np.sqrt(square / (1 - 0.999 ** turn)) + floor)
     return Model(np.where(used, vectors @ (softmax[:, 1] - softmax[:, 0]), 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
