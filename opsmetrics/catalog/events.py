@@ -137,7 +137,7 @@ UNION ALL SELECT 'failed_jobs', 0 UNION ALL SELECT r, -1 FROM (VALUES ('running_
 def _(t):
     tables = {"waits": t.user_waits(), "statements": workload_inputs.statement_stats(t), "databases": backup_inputs.databases(t), "backups": backup_inputs.sets(t),
               "file_io": storage_inputs.file_io(t), "files": storage_inputs.files(t), "job_history": job_inputs.history(t), "jobs": job_inputs.jobs(t)}
-    done = triage(tables, orders_as_of())
+    done = triage(tables, orders_as_of()).run()
     counted = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("report"), "row_count") for name, df in done.reports.items()]
     failed = t.spark.createDataFrame([(name, -1) for name in done.errors], "report string, row_count bigint")
     return reduce(DataFrame.unionByName, counted + [failed])

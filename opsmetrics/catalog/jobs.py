@@ -129,6 +129,21 @@ def _(t):
     return P.job_audit(jobs(t), "proxy", steps(t), proxies).select("step_id", "job_name", "proxy_name")
 
 
+@query("k91_alert_audit", """
+SELECT o_orderkey || ' ' || o_orderpriority AS alert_name, 'MSSQLSERVER' AS event_source, o_custkey AS message_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS severity, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS enabled,
+  CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS has_notification, o_orderkey % 600 AS delay_between_responses, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_orderkey % 50 END AS occurrence_count,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_seconds(o_orderkey % 86400) END AS last_occurrence FROM orders""")
+def _(t):
+    never, at = F.col("o_orderstatus") == "P", F.col("o_orderkey") % 86400
+    alerts = t.orders.select(
+        F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("alert_name"), F.lit("MSSQLSERVER").alias("event_source"), F.col("o_custkey").alias("message_id"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("severity"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("enabled"),
+        F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0).alias("has_notification"), (F.col("o_orderkey") % 600).alias("delay_between_responses"),
+        F.when(never, 0).otherwise(F.col("o_orderkey") % 50).alias("occurrence_count"),
+        F.when(never, 0).otherwise(F.date_format("o_orderdate", "yyyyMMdd").cast("int")).alias("last_occurrence_date"), F.when(never, 0).otherwise(packed(at)).alias("last_occurrence_time"))
+    return P.alert_audit(alerts)
+
+
 @query("k92_search_logs", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
 def _(t):
     return P.search_logs(t.documents, "License").select("doc_id", "source")

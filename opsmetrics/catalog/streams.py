@@ -19,10 +19,10 @@ def event_stream(t, cols=None):
 
 
 @query("i1_append_snapshot", """
-SELECT event_id, user_id, TIMESTAMP '2024-01-31 12:00:00' AS runtime FROM events""")
+SELECT event_id, user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS runtime FROM events""")
 def _(t):
-    stream = event_stream(t).select("event_id", "user_id")
-    return ST.append_snapshot(stream, ST.scratch(t.spark, "snapshots"), "2024-01-31 12:00:00").select("event_id", "user_id", "runtime")
+    stream = event_stream(t).select("event_id", "user_id", "ts")
+    return ST.append_snapshot(stream, ST.scratch(t.spark, "snapshots"), F.date_trunc("hour", "ts")).select("event_id", "user_id", "runtime")
 
 
 @query("i2_high_water_mark", """
@@ -142,9 +142,10 @@ def _(t):
 @query("i12_unseen_only", """
 SELECT event_id, ts FROM events""")
 def _(t):
-    # Every arrival is delivered twice; within the watermark each event is kept once.
-    path = ST.scratch(t.spark, "twice")
+    # Every event is delivered twice, the second time after the first was processed; within the watermark it is kept once.
+    path, out = ST.scratch(t.spark, "twice"), ST.scratch(t.spark, "unseen")
     for copy in (0, 1):
-        t.events.coalesce(1).write.parquet(f"{path}/copy={copy}")
-    stream = ST.read_snapshots(t.spark, f"{path}/*", t.events.schema, files_per_batch=2).withColumn("at", F.col("ts").cast("timestamp"))
-    return ST.run_once(ST.unique_records(stream, "event_id", "at", "60 days").select("event_id", "ts"), ST.scratch(t.spark, "unseen"))
+        t.events.write.parquet(f"{path}/copy={copy}")
+        stream = ST.read_snapshots(t.spark, f"{path}/*", t.events.schema).withColumn("at", F.col("ts").cast("timestamp"))
+        kept = ST.run_once(ST.unique_records(stream, "event_id", "at", "60 days").select("event_id", "ts"), out)
+    return kept

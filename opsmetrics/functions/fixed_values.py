@@ -186,3 +186,8 @@ IDLE_COMMANDS = ["AWAITING COMMAND", "MIRROR HANDLER", "LAZY WRITER", "CHECKPOIN
 BACKUP_COMMANDS = ["BACKUP DATABASE", "RESTORE DATABASE", "BACKUP LOG", "RESTORE LOG"]
 MISSING_INDEX_TOKEN = "<MissingIndexes>"
 UNLIMITED_MEMORY_MB = 2147483647
+
+#: Columns of the database posture, in the order shown.
+POSTURE = ["state_desc", "user_access_desc", "recovery_model_desc", "log_reuse_wait_desc", "compatibility_level", "page_verify_option_desc",
+           "is_read_only", "is_auto_close_on", "is_auto_shrink_on", "is_auto_create_stats_on", "is_auto_update_stats_on",
+           "is_auto_update_stats_async_on"]

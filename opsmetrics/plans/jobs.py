@@ -121,6 +121,13 @@ def job_audit(jobs: DataFrame, rule: str, steps: DataFrame | None = None, proxie
     raise ValueError(f"unknown rule {rule}")
 
 
+def alert_audit(alerts: DataFrame) -> DataFrame:
+    """Alerts with what sets them off, how often they did and when last (null if never)."""
+    return alerts.select(
+        "alert_name", "event_source", "message_id", "severity", "enabled", "has_notification", "delay_between_responses",
+        "occurrence_count", int_datetime("last_occurrence_date", "last_occurrence_time").alias("last_occurrence"))
+
+
 # --- logs ------------------------------------------------------------------
 
 def search_logs(logs: DataFrame, pattern: str, column: str = "text") -> DataFrame:

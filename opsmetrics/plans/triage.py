@@ -8,19 +8,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+from ..session import materialise
 from . import backups, blocking, counters, jobs, sessions, storage, workload
 
 
 @dataclass
 class Triage:
-    """Reports by name, in order, still lazy; and the reason for each one that could not be built."""
+    """Reports by name, in order, still lazy; and the reason for each one that could not be built or run."""
 
     reports: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
+    def run(self) -> Triage:
+        """Run each report on its own and go on from its written rows; one that fails is noted and does not stop the rest."""
+        out = Triage(errors=dict(self.errors))
+        for name, report in self.reports.items():
+            try:
+                out.reports[name] = materialise(report)
+            except Exception as error:  # a report must not stop the others
+                out.errors[name] = str(error).splitlines()[0]
+        return out
+
 
 def posture(databases: DataFrame) -> DataFrame:
-    return databases
+    """State and settings of each database, as far as they were collected."""
+    return databases.select("database_name", *[c for c in V.POSTURE if c in databases.columns])
 
 
 def parts(tables: dict[str, DataFrame], n: int, as_of) -> dict[str, Callable[[], DataFrame]]:

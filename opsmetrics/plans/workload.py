@@ -65,17 +65,20 @@ def top_procedures(stats: DataFrame, metric: str = "logical_writes", n: int = 25
 
 
 def procedure_delta(first: DataFrame, last: DataFrame, n: int = 100) -> DataFrame:
-    """Differences between two samples of the ``n`` busiest procedures, those in both."""
+    """Differences between two samples of the procedures in both, for the ``n`` with most worker time in the later one.
+
+    ``calls_per_second`` is the later sample's, since the plan was cached; 0 within the first second.
+    """
     def sample(df):
-        return (df.orderBy(F.desc("total_worker_time"), "name").limit(n)
-                .select("name", "sample_time", "execution_count", "total_worker_time", "total_elapsed_time",
-                        per_call("worker_time").alias("avg_worker_time"), per_call("elapsed_time").alias("avg_elapsed_time")))
+        return df.select("name", "sample_time", "execution_count", "total_worker_time", "total_elapsed_time",
+                         calls_per("second", "sample_time", "cached_time").alias("calls_per_second"), per_call("worker_time").alias("avg_worker_time"), per_call("elapsed_time").alias("avg_elapsed_time"))
 
     a, b = sample(first).alias("a"), sample(last).alias("b")
     diff = lambda c: (F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"delta_{c}")
-    return a.join(b, F.col("a.name") == F.col("b.name")).select(
+    return a.join(b, F.col("a.name") == F.col("b.name")).orderBy(F.desc("b.total_worker_time"), "b.name").limit(n).select(
         F.col("a.name").alias("name"), boundaries("second", "a.sample_time", "b.sample_time").alias("seconds_between"),
-        *[diff(c) for c in ("execution_count", "total_worker_time", "total_elapsed_time", "avg_worker_time", "avg_elapsed_time")])
+        *[diff(c) for c in ("execution_count", "total_worker_time", "total_elapsed_time", "avg_worker_time", "avg_elapsed_time")],
+        "b.calls_per_second")
 
 
 def top_functions(stats: DataFrame, n: int = 25) -> DataFrame:

@@ -41,14 +41,15 @@ def run_batches(stream: DataFrame, path: str, write, mode: str = "append") -> No
      .option("checkpointLocation", f"{path}-progress").start().awaitTermination())
 
 
-def append_snapshot(stream: DataFrame, path: str, at: str, trigger: str | None = None):
+def append_snapshot(stream: DataFrame, path: str, at: Column | None = None, trigger: str | None = None):
     """Append each arriving snapshot with the time it was collected; one folder per batch.
 
+    ``at`` is that time as an expression of the arriving rows; without it, the clock at the start of the batch.
     A batch that runs again after a failure replaces its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("runtime", F.lit(at).cast("timestamp_ntz"))
+        (batch.withColumn("runtime", (F.localtimestamp() if at is None else at).cast("timestamp_ntz"))
          .write.mode("overwrite").parquet(f"{path}/capture={batch_id}"))
 
     if trigger is None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import fixed_values as V
-from opsmetrics.plans import backups, counters, indexes, jobs, replication, security, sessions, storage, triage
+from opsmetrics.plans import backups, counters, indexes, jobs, replication, security, sessions, storage, triage, workload
 
 WAITS = "wait_type string, waiting_tasks_count bigint, wait_time_ms bigint, signal_wait_time_ms bigint"
 
@@ -155,6 +155,28 @@ def test_triage_goes_on_after_a_failure(spark):
     assert out.errors["file_latency"] == "table not collected: file_io"
 
 
+def test_triage_goes_on_when_a_report_fails_as_it_runs(spark):
+    dbs = spark.createDataFrame([("a", "FULL", "ONLINE", "x")], "database_name string, recovery_model_desc string, state_desc string, extra string")
+    broken = spark.createDataFrame([("a", "D")], "database_name string, type string").select(
+        "database_name", "type", F.raise_error(F.lit("torn page")).cast("timestamp_ntz").alias("backup_finish_date"))
+    built = triage.Triage({"database_posture": triage.posture(dbs), "last_backups": broken, "again": triage.posture(dbs)}, {"memory": "not collected"})
+    out = built.run()
+    assert list(out.reports) == ["database_posture", "again"] and set(out.errors) == {"memory", "last_backups"}
+    assert [tuple(r) for r in out.reports["again"].collect()] == [("a", "ONLINE", "FULL")]
+
+
+def test_procedures_in_both_samples_count_whatever_their_rank(spark):
+    schema = "name string, execution_count bigint, total_worker_time bigint, total_elapsed_time bigint, sample_time string, cached_time string"
+    def sample(rows, at):
+        df = spark.createDataFrame([(name, n, w, w, at, "2024-01-01 00:00:00") for name, n, w in rows], schema)
+        return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("sample_time", "cached_time")})
+    first = sample([("a", 1, 1), ("b", 5, 100)], "2024-01-01 00:00:00")
+    last = sample([("a", 41, 900), ("b", 6, 120), ("c", 9, 999)], "2024-01-01 00:00:10")
+    got = [(r.name, r.delta_total_worker_time, r.calls_per_second) for r in workload.procedure_delta(first, last, n=1).collect()]
+    assert got == [("a", 899, 4)]
+    assert [r.calls_per_second for r in workload.procedure_delta(first, first).collect()] == [0, 0]
+
+
 def test_session_filters(spark):
     df = spark.createDataFrame([(1, "app_a", "db", "u", "h", "running", 0), (2, "appXa", "db", "u", "h", "sleeping", 1), (3, "other", "db", "u", "h", "sleeping", 0)],
                                "session_id int, program_name string, database_name string, login_name string, host_name string, status string, open_tran_count int")

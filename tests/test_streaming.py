@@ -22,6 +22,18 @@ def test_deltas_and_late_samples(spark, tmp_path):
     assert [(r.counter, r.value) for r in late] == [("a", 99)]
 
 
+def test_captures_carry_their_own_time(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"{tmp_path}/out"
+    for n in (1, 2):
+        spark.createDataFrame([(n, dt.datetime(2024, 1, n))], "id int, at timestamp_ntz").coalesce(1).write.mode("append").parquet(source)
+        stream = ST.read_snapshots(spark, source, "id int, at timestamp_ntz")
+        got = ST.append_snapshot(stream, path)
+    times = [r.runtime for r in got.orderBy("id").collect()]
+    assert len(times) == 2 and times[0] < times[1]
+    named = ST.append_snapshot(ST.read_snapshots(spark, source, "id int, at timestamp_ntz"), f"{tmp_path}/named", F.col("at"))
+    assert sorted(r.runtime for r in named.collect()) == [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+
+
 def test_append_matches_by_name(spark, tmp_path):
     path = f"{tmp_path}/t"
     src.append_to(spark.createDataFrame([(1, "x")], "a int, b string"), path)
