@@ -281,6 +281,29 @@ def _(t):
     return P.page_life(rows)
 
 
+def memory_counters(t):
+    """Events as counters of the buffer manager, its nodes and the memory manager."""
+    owner = F.when(F.col("event_id") % 3 == 0, "Stats:Buffer Node").when(F.col("event_id") % 3 == 1, "Stats:Buffer Manager").otherwise("STATS:MEMORY MANAGER")
+    name = (F.when(F.col("event_type") == "view", "Page life expectancy").when(F.col("event_type") == "click", "Free list stalls/sec")
+            .when(F.col("event_type") == "error", "Memory Grants Pending").otherwise("Lazy writes/sec"))
+    return t.events.select(owner.alias("object_name"), name.alias("counter_name"), F.col("event_id").cast("string").alias("instance_name"), F.floor(F.col("value") * 5).alias("cntr_value"))
+
+
+@query("k64_page_life_nodes", f"""
+SELECT 'Stats:Buffer Node' AS object_name, CAST(event_id AS VARCHAR) AS instance_name, CAST(floor(value * 5) AS BIGINT) AS seconds, {fx('floor(value * 5) / 60.0', 1)} AS minutes,
+  CASE WHEN floor(value * 5) < 300 THEN '*** CRITICAL ***' WHEN floor(value * 5) < 1000 THEN '* Warning *' ELSE 'OK' END AS status FROM events WHERE event_type = 'view' AND event_id % 3 = 0""")
+def _(t):
+    return P.page_life(memory_counters(t), per_node=True)
+
+
+@query("k64_memory_counters", """
+SELECT CASE WHEN event_id % 3 = 1 THEN 'Stats:Buffer Manager' ELSE 'STATS:MEMORY MANAGER' END AS object_name, CASE event_type WHEN 'view' THEN 'Page life expectancy' WHEN 'click' THEN 'Free list stalls/sec' ELSE 'Memory Grants Pending' END AS counter_name,
+  CAST(event_id AS VARCHAR) AS instance_name, CAST(floor(value * 5) AS BIGINT) AS cntr_value FROM events
+WHERE (event_id % 3 = 1 AND event_type IN ('view', 'click')) OR (event_id % 3 = 2 AND event_type = 'error')""")
+def _(t):
+    return P.memory_counters(memory_counters(t))
+
+
 @query("k65_memory_events", """
 SELECT TIMESTAMP '2024-01-31' - to_seconds((100000000 - event_id * 977) // 1000) AS event_time, event_type AS notification, CAST(user_id AS INTEGER) AS indicators_process, CAST(floor(value) AS INTEGER) AS indicators_system, event_id AS physical_kb, CAST(NULL AS BIGINT) AS virtual_kb FROM events""")
 def _(t):

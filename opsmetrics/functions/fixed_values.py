@@ -191,3 +191,9 @@ UNLIMITED_MEMORY_MB = 2147483647
 POSTURE = ["state_desc", "user_access_desc", "recovery_model_desc", "log_reuse_wait_desc", "compatibility_level", "page_verify_option_desc",
            "is_read_only", "is_auto_close_on", "is_auto_shrink_on", "is_auto_create_stats_on", "is_auto_update_stats_on",
            "is_auto_update_stats_async_on"]
+
+#: Memory counters by the object that has them.
+MEMORY_COUNTERS = {
+    "Buffer Manager": ["Page life expectancy", "Free list stalls/sec"],
+    "Memory Manager": ["Memory Grants Pending", "Memory Grants Outstanding"],
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,12 +236,21 @@ def memory_clerks(clerks: DataFrame, n: int = 20) -> DataFrame:
             .select("type", "name", mb("pages_kb").alias("allocated_mb"), mb("reserved_kb").alias("reserved_mb"), mb("committed_kb").alias("committed_mb")))
 
 
-def page_life(counters: DataFrame) -> DataFrame:
-    rows = counters.where(like("object_name", "%Buffer Manager%", ignore_case=True) & (F.lower("counter_name") == "page life expectancy"))
+def page_life(counters: DataFrame, per_node: bool = False) -> DataFrame:
+    """Page life with its band, of the whole server or of each memory node."""
+    owner = "%Buffer Node%" if per_node else "%Buffer Manager%"
+    rows = counters.where(like("object_name", owner, ignore_case=True) & (F.lower("counter_name") == "page life expectancy"))
     return rows.select("object_name", "instance_name", F.col("cntr_value").alias("seconds"), fixed(F.col("cntr_value") / 60.0, 1).alias("minutes"),
                        band("cntr_value", V.PAGE_LIFE_BANDS, "OK").alias("status"))
 
 
+def memory_counters(counters: DataFrame) -> DataFrame:
+    """The counters that tell of memory pressure."""
+    wanted = [like("object_name", f"%{owner}%", ignore_case=True) & F.lower("counter_name").isin([n.lower() for n in names])
+              for owner, names in V.MEMORY_COUNTERS.items()]
+    return counters.where(reduce(Column.__or__, wanted)).select("object_name", "counter_name", "instance_name", "cntr_value")
+
+
 def memory_events(records: DataFrame, now_ticks, now) -> DataFrame:
     """Memory notifications from ring buffer records, on whole seconds."""
     behind = int_div(F.lit(now_ticks) - F.col("timestamp") if not isinstance(now_ticks, Column) else now_ticks - F.col("timestamp"), 1000)
