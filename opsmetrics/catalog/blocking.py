@@ -56,6 +56,23 @@ def _(t):
     return B.head_blocker_summary(t.customer_tree())
 
 
+@query("k25_head_statements", f"""{HIERARCHY_SQL},
+s AS (SELECT head AS head_blocker_session_id, wait_type AS blocking_resource_wait_type, CAST(count(*) AS BIGINT) AS blocked_task_count FROM h WHERE level > 0 GROUP BY 1, 2),
+x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'USE a' || chr(13) || chr(10) || 'CREATE PROC ' ELSE '-- ' END || text AS text, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS object_id,
+  CASE WHEN doc_id % 7 <> 0 THEN doc_id % 50 * 2 ELSE 0 END AS b, CASE doc_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 8192 ELSE 200 + doc_id % 300 END AS e, source FROM documents WHERE doc_id IN (SELECT head FROM h))
+SELECT s.*, CASE WHEN object_id IS NULL OR text IS NULL THEN '' ELSE translate(CASE WHEN contains(left(text, 512), 'CREATE ') THEN substr(text, position('CREATE ' IN text), 50) ELSE left(text, 49) END, chr(13) || chr(10), '  ') END AS head_blocker_proc_name,
+  coalesce(object_id, 0) AS head_blocker_proc_objid, coalesce(left(translate(substr(text, b // 2 + 1, CASE WHEN e <= 0 THEN 8193 ELSE e // 2 - b // 2 + 1 END), chr(13) || chr(10), '  '), 1000), '') AS stmt_text,
+  source AS head_blocker_plan_handle FROM s LEFT JOIN x ON doc_id = head_blocker_session_id""")
+def _(t):
+    n = F.col("doc_id")
+    text = F.concat(F.when(n % 3 == 0, "").when(n % 3 == 1, "USE a\r\nCREATE PROC ").otherwise("-- "), "text")
+    heads = t.documents.select(
+        n.alias("sid"), text.alias("text"), F.when(n % 5 != 0, n).alias("object_id"), F.when(n % 7 != 0, n % 50 * 2).alias("statement_start_offset"),
+        F.when(n % 4 == 0, -1).when(n % 4 != 1, 200 + n % 300).alias("statement_end_offset"), F.col("source").alias("plan_handle"))
+    return B.head_blocker_summary(t.customer_tree(), heads=heads).select(
+        "head_blocker_session_id", "blocking_resource_wait_type", "blocked_task_count", "head_blocker_proc_name", "head_blocker_proc_objid", "stmt_text", "head_blocker_plan_handle")
+
+
 @query("k26_blocked_counts", f"""
 WITH RECURSIVE tree AS ({TREE_SQL}), c AS (SELECT sid AS top, sid FROM tree UNION ALL SELECT c.top, t.sid FROM c JOIN tree t ON t.blk = c.sid)
 SELECT top AS sid, CAST(count(*) - 1 AS BIGINT) AS blocked_session_count FROM c GROUP BY 1""")

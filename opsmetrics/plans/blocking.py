@@ -128,16 +128,45 @@ def wait_class(wait_type="wait_type", resource: str | None = None) -> Column:
     return F.left(rules(steps, F.col(wait_type)), F.lit(40))
 
 
-def head_blocker_summary(edges: DataFrame, keys=None, resource: str | None = None) -> DataFrame:
-    """Per head and kind of wait: sessions held up, their wait times and the depth of the chain."""
+def _procedure_name() -> Column:
+    """The start of a procedure's definition, from its CREATE on; empty for other batches."""
+    at = F.instr(F.left("text", F.lit(512)), "CREATE ")
+    name = F.when(at > 0, F.substr("text", at, F.lit(50))).otherwise(F.left("text", F.lit(49)))
+    return F.coalesce(F.when(F.col("object_id").isNotNull(), _spaced(name)), F.lit(""))
+
+
+def _running_statement() -> Column:
+    """The statement between the offsets, 1000 characters at most. No start is the beginning; no end is byte 8192."""
+    start = int_div(F.coalesce("statement_start_offset", F.lit(0)), 2)
+    end = F.coalesce("statement_end_offset", F.lit(8192))
+    length = F.when(end <= 0, F.lit(8193)).otherwise(int_div(end, 2) - start + 1)
+    return F.coalesce(F.left(_spaced(F.substr("text", (start + 1).cast("int"), length.cast("int"))), F.lit(1000)), F.lit(""))
+
+
+def _spaced(text: Column) -> Column:
+    return F.translate(text, "\r\n", "  ")
+
+
+def head_blocker_summary(edges: DataFrame, keys=None, resource: str | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Per head and kind of wait: sessions held up, their wait times and the depth of the chain.
+
+    With ``heads`` (sid, object_id, text, offsets and plan_handle of sessions) also what the head runs.
+    """
     keys = as_list(keys)
     rows = blocking_hierarchy(edges, keys).where("level > 0")
     ms = F.coalesce("wait_ms", F.lit(0))
-    return (rows.groupBy(*keys, F.col("head").alias("head_blocker_session_id"),
-                         wait_class("wait_type", resource).alias("blocking_resource_wait_type"))
-            .agg(F.count(F.lit(1)).alias("blocked_task_count"), F.sum(ms).alias("tot_wait_duration_ms"),
-                 int_avg(ms).alias("avg_wait_duration_ms"), F.max("wait_ms").alias("max_wait_duration_ms"),
-                 F.max("level").alias("max_blocking_chain_depth")))
+    summary = (rows.groupBy(*keys, F.col("head").alias("head_blocker_session_id"),
+                            wait_class("wait_type", resource).alias("blocking_resource_wait_type"))
+               .agg(F.count(F.lit(1)).alias("blocked_task_count"), F.sum(ms).alias("tot_wait_duration_ms"),
+                    int_avg(ms).alias("avg_wait_duration_ms"), F.max("wait_ms").alias("max_wait_duration_ms"),
+                    F.max("level").alias("max_blocking_chain_depth")))
+    if heads is None:
+        return summary
+    runs = heads.select(*keys, F.col("sid").alias("head_blocker_session_id"), _procedure_name().alias("head_blocker_proc_name"),
+                        F.coalesce("object_id", F.lit(0)).alias("head_blocker_proc_objid"), _running_statement().alias("stmt_text"),
+                        F.col("plan_handle").alias("head_blocker_plan_handle"))
+    return summary.join(runs, [*keys, "head_blocker_session_id"], "left").fillna(
+        {"head_blocker_proc_name": "", "head_blocker_proc_objid": 0, "stmt_text": ""})
 
 
 # --- counts ----------------------------------------------------------------
