@@ -150,8 +150,11 @@ def short_text(value, n: int, blank: str = "") -> Column:
 
 
 def slice_statement(text, start, end) -> Column:
-    """Statement between two byte offsets of two-byte characters; end -1 is the end of text."""
-    text, start, end = col(text), col(start), col(end)
+    """Statement between two byte offsets of two-byte characters; end -1 is the end of text.
+
+    No start is the beginning, no end is the end of text.
+    """
+    text, start, end = col(text), F.coalesce(col(start), F.lit(0)), F.coalesce(col(end), F.lit(-1))
     stop = F.when(end == -1, F.length(text) * 2).otherwise(end)
     return F.substr(text, (int_div(start, 2) + 1).cast("int"), (int_div(stop - start, 2) + 1).cast("int"))
 

@@ -36,6 +36,9 @@ def test_text(one):
     assert one(S.quote_name(F.lit("a]b")), S.quote_name(F.lit("a'b"), "'")) == ("[a]]b]", "'a''b'")
     assert one(S.slice_statement(F.lit("SELECT 1; SELECT 2"), F.lit(20), F.lit(-1))) == ("SELECT 2",)
     assert one(S.slice_statement(F.lit("SELECT 1; SELECT 2"), F.lit(0), F.lit(14))) == ("SELECT 1",)
+    none = F.lit(None).cast("int")
+    assert one(S.slice_statement(F.lit("SELECT 1; SELECT 2"), none, none)) == ("SELECT 1; SELECT 2",)
+    assert one(S.slice_statement(F.lit("SELECT 1; SELECT 2"), F.lit(20), none)) == ("SELECT 2",)
     assert one(S.path_drive(F.lit("c:\\data\\x.mdf")), S.path_prefix(F.lit("a/b/c/d"), "/", 2)) == ("C:", "a/b")
 
 
