@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints."""
+    """One document of each component of near copies: 0.8 or more of the five-word shingles of two texts agree."""
     return simhash.distinct_rows(docs)
 
 
