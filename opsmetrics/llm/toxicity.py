@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_id"))
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)  # at most max_rows small rows
+    there = docs.select(F.col(id_col).alias("_id"))  # labels of rows that are not in docs take no place in the sample
+    chosen = usable.join(there, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)  # at most max_rows small rows
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).where(F.length("_text") <= max_chars // 5)
     # The rows come in the order of the table, so the limit on characters acts on the smallest hashes first.

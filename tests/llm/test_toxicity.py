@@ -86,3 +86,12 @@ def test_bounds_and_empty(spark):
     ys = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     assert not np.array_equal(train(some, ys, max_chars=5_000).values, train(some, ys).values)
     assert not train(some, ys, max_chars=5).values.any()
+
+
+def test_labels_of_rows_that_are_not_there_take_no_place(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t, "", "") for i, t, _ in rows], SCHEMA)
+    labels = [(i, y) for i, _, y in rows]
+    more = [(i, 0) for i in range(10_000, 40_000)]
+    a, b = (train(docs, spark.createDataFrame(x, "doc_id bigint, toxic int"), max_rows=300) for x in (labels, labels + more))
+    assert a.values.any() and np.array_equal(a.values, b.values)
