@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_recording = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialise`` writes inside, for ``drop_tables`` once nothing reads them any more."""
+    lists = _recording.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    lists.append(made)
+    try:
+        yield made
+    finally:
+        lists[:] = [x for x in lists if x is not made]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``materialise`` wrote. Paths that are gone already are passed over."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    paths.clear()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and go on from there.
 
@@ -52,5 +78,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    for made in getattr(_recording, "lists", ()):
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
