@@ -10,15 +10,12 @@ flipping up to two bits, which costs 136 lookups a member and not a pair for eac
 Copies are combined first: the index holds distinct fingerprints, and each component is labelled with
 the smallest id of its documents by aggregation.
 
-``distinct_rows`` takes near copies by their texts: rows whose five-word shingles have a Jaccard similarity of
-0.8 or more. Such texts may lie a dozen bits apart, where a 64-bit fingerprint no longer selects, so the index
-only adds candidates to those that meet in one of ``BANDS`` bands of ``ROWS`` min-hashes each; at 0.8 a pair
-shares a band in 99.97 % of cases. Rows of a band are compared with two first rows of it, and every candidate's whole
-sets of shingles are compared before it links.
+The index tallies by construction: a set of 6 positions is shared exactly if the tally is 6 or more, so no pair needs
+to be counted first.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; fewer words than a
 shingle make one shingle; null ids never label a component that has another id; an empty table gives no
-rows.
+rows; very long texts are hashed whole, in pieces; other columns, whatever their names, only travel along.
 """
 
 from __future__ import annotations
@@ -35,17 +32,11 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .components import components, union_find
-from .substring_dedup import shingles
 
 SEED = 42
 BITS = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Near copies by their texts: words of a shingle, least Jaccard similarity, and the bands that propose them.
-SHINGLE = 5
-SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | bytes | None, words: int = 3) -> int:
@@ -165,89 +156,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("kept"))
 
 
-def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct word shingles, sorted; fewer words than a shingle make one, no words make none."""
-    found = shingles(text, size)
-    if len(found) == 0 and (parts := text.lower().split()):
-        found = np.array([xxhash.xxh64_intdigest(b" ".join(parts))], np.uint64)
-    return np.unique(found)
-
-
-def bands(codes: np.ndarray) -> np.ndarray:
-    """One value for each band of min-hashes of a set of shingles."""
-    least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(codes), 2048):
-        np.minimum(least, (codes[at:at + 2048] * _FACTORS).min(axis=1, keepdims=True), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = (out ^ rows[:, k]) * _FACTORS[k, 0]
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            values = [bands(shingle_set(t.as_buffer().to_pybytes())) for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("uid").to_numpy(), BANDS)),
-                                              pa.array(np.concatenate(values))], names=["uid", "band"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            data = [shingle_set(t.as_buffer().to_pybytes()).astype(np.uint32).tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(data, pa.binary())], names=["uid", "data"])
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two arrays of distinct values; two empty ones are alike."""
-    shared = len(np.intersect1d(a, b))
-    total = len(a) + len(b) - shared
-    return shared / total if total else 1.0
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, other = batch.column("data"), batch.column("other_data")
-            sets = ((np.unique(np.frombuffer(x[k].as_buffer(), np.uint32)) for x in (data, other)) for k in range(batch.num_rows))
-            keep = pa.array([jaccard(a, b) >= similarity for a, b in sets], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(keep) for n in ("uid", "other")], names=["a", "b"])
-
-    return run
-
-
-def _candidates(printed: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """Pairs ``uid, other`` of rows that may be near copies: each row with the first of its bands and fingerprint, and first rows of near fingerprints."""
-    posted = materialise(texts.mapInArrow(_bands, "uid bigint, band bigint"))
-    # Two first rows, by number and by a hash that differs in each band: an unlike first row hides like ones in few bands only.
-    drawn = F.min(F.struct(F.xxhash64("uid", "band").alias("h"), F.col("uid").alias("uid")))
-    first = posted.groupBy("band").agg(F.min("uid").alias("least"), F.max("uid").alias("most"), drawn.alias("drawn")).where("least < most")
-    first = materialise(first.select("band", F.array_distinct(F.array("least", "drawn.uid")).alias("firsts")))
-    met = posted.join(first, "band").select("uid", F.explode("firsts").alias("other"))
-    prints = materialise(printed.groupBy("fp").agg(F.min("uid").alias("other")))
-    same = printed.select("uid", "fp").join(prints, "fp").select("uid", "other")
-    named = prints.withColumnsRenamed({"fp": "b", "other": "uid"})
-    near = links(prints.select("fp"), distance).join(named, "b").join(prints, F.col("a") == F.col("fp")).select("uid", "other")
-    return materialise(met.union(same).union(near).where("uid <> other").distinct())
-
-
-def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2,
-                  similarity: float = SIMILARITY) -> DataFrame:
-    """The first row of each component of near copies, with all its columns: smallest id, null ids last, then row number."""
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """The first row of each component, with all its columns: smallest id, null ids last, then row number."""
     printed = _printed(df, id_col, text_col, words, whole=True)
-    texts = printed.select("uid", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    pairs = _candidates(printed.select("uid", "fp"), texts, distance)
-    wanted = pairs.select("uid").union(pairs.select(F.col("other").alias("uid"))).distinct()
-    sets = materialise(texts.join(wanted, "uid", "left_semi").mapInArrow(_sets, "uid bigint, data binary"))
-    both = pairs.join(sets, "uid").join(sets.withColumnsRenamed({"uid": "other", "data": "other_data"}), "other")
-    found = components(materialise(both.mapInArrow(_alike(similarity), "a bigint, b bigint")))
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
-    linked = materialise(printed.select("uid", "id").join(found, F.col("uid") == F.col("node")).select("uid", "id", "root"))
-    firsts = linked.groupBy("root").agg(F.min(place).alias("first"))
-    gone = linked.select("uid").join(firsts.select(F.col("first.uid").alias("uid")), "uid", "left_anti")
-    return printed.select("uid", "row").join(gone, "uid", "left_anti").select("row.*")
+    stay = _first_of_component(printed.drop("row"), distance).select(F.col("first.uid").alias("uid")).distinct()
+    return printed.select("uid", "row").join(stay, "uid").select("row.*")
