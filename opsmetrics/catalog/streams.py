@@ -1,28 +1,51 @@
 """Group I: incremental and streaming forms. Streams read files and drain what is there."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import sets as S
 from ..operators.windows import time_block
 from ..plans.counters import counter_delta
+from ..streaming import marks as MK
 from ..streaming import snapshots as ST
 from .fixtures import COUNTERS_SQL, EVENTS_SPLIT, events_as_of, money
 from .registry import query
 
 
-def event_stream(t, cols=None):
-    """The events table as a file stream, at one file per trigger."""
-    path = ST.scratch(t.spark, "arrivals")
-    t.events.repartitionByRange(4, "ts").write.parquet(path)
-    stream = ST.read_snapshots(t.spark, path, t.events.schema, files_per_batch=1)
-    return stream.withColumn("at", F.col("ts").cast("timestamp"))
+def arrivals(t, days: int = 16):
+    """The events in the order of their arrival, ``days`` at a time, as (folder, stream): one item for each arrival."""
+    path, day = ST.scratch(t.spark, "arrivals"), F.col("ts").cast("date")
+    low, high = t.events.agg(F.min(day), F.max(day)).first()
+    t.events.limit(0).write.parquet(path)
+    while low is not None and low <= high:
+        until = low + datetime.timedelta(days=days)
+        t.events.where((day >= F.lit(low)) & (day < F.lit(until))).write.mode("append").parquet(path)
+        yield path, arrived(t, path)
+        low = until
+
+
+def arrived(t, path):
+    return ST.read_snapshots(t.spark, path, t.events.schema).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def settled(t, make, name, closing):
+    """Results of an aggregating stream, given out once the watermark has passed them; a closing row settles the last ones."""
+    out = ST.scratch(t.spark, name)
+    path = None
+    for path, stream in arrivals(t):
+        ST.run_once(make(stream), out)
+    ST.close_stream(t.events, path, "ts", closing)
+    return ST.run_once(make(arrived(t, path)), out)
 
 
 @query("i1_append_snapshot", """
 SELECT event_id, user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS runtime FROM events""")
 def _(t):
-    stream = event_stream(t).select("event_id", "user_id", "ts")
-    return ST.append_snapshot(stream, ST.scratch(t.spark, "snapshots"), F.date_trunc("hour", "ts")).select("event_id", "user_id", "runtime")
+    out = ST.scratch(t.spark, "snapshots")
+    for _, stream in arrivals(t):
+        kept = ST.append_snapshot(stream.select("event_id", "user_id", "ts"), out, F.date_trunc("hour", "ts"))
+    return kept.select("event_id", "user_id", "runtime")
 
 
 @query("i2_high_water_mark", """
@@ -34,13 +57,14 @@ def _(t):
 
 @query("i3_record_overlap", "SELECT event_id, user_id FROM events")
 def _(t):
-    # Two files whose ids overlap by a tenth; each record must come out once.
-    cut = t.events.agg(F.percentile_approx("event_id", F.lit(0.5))).scalar()
-    path = ST.scratch(t.spark, "overlap")
-    t.events.where(F.col("event_id") <= cut).write.parquet(f"{path}/part=0")
-    t.events.where(F.col("event_id") > cut - 100).write.parquet(f"{path}/part=1")
-    stream = ST.read_snapshots(t.spark, f"{path}/*", t.events.schema, files_per_batch=1)
-    return ST.run_once(ST.unique_records(stream, "event_id").select("event_id", "user_id"), ST.scratch(t.spark, "unique"))
+    # Two runs; of the last records before the first mark, every other one is visible only to the second run.
+    cut = t.events.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    out, marks = ST.scratch(t.spark, "records"), ST.scratch(t.spark, "marks")
+    records, at = t.events.select("event_id", "user_id"), F.col("event_id")
+    hidden = (at > cut - 5) & (at % 2 != cut % 2)
+    for version, visible in enumerate([records.where((at <= cut) & ~hidden), records]):
+        MK.load_increment(visible, out, marks, "last_event", "event_id", version)
+    return t.spark.read.schema(records.schema).parquet(f"{out}/*")
 
 
 @query("i4_two_sample_delta", f"""
@@ -81,8 +105,10 @@ def _(t):
 SELECT event_id, event_type, value FROM events WHERE value > 300 OR event_type = 'error'""")
 def _(t):
     rules = [F.col("value") > 300, F.col("event_type") == "error"]
-    kept = ST.event_filter(event_stream(t), rules).select("event_id", "event_type", "value")
-    return ST.run_once(kept, ST.scratch(t.spark, "filtered"))
+    out = ST.scratch(t.spark, "filtered")
+    for _, stream in arrivals(t):
+        kept = ST.run_once(ST.event_filter(stream, rules).select("event_id", "event_type", "value"), out)
+    return kept
 
 
 @query("i8_retention", """
@@ -96,15 +122,8 @@ SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, CAST(cou
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def _(t):
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(money("value")).cast("double").alias("total")]
-    out = ST.tumbling(event_stream(t), "at", "10 minutes", "event_type", aggs)
-    path = ST.scratch(t.spark, "tumbling")
-    return complete(t, out, path).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "total")
-
-
-def complete(t, stream, path):
-    """Final state of an aggregating stream: every batch writes the whole result table anew."""
-    ST.run_batches(stream, path, lambda batch, _: batch.write.mode("overwrite").parquet(path), mode="complete")
-    return t.spark.read.schema(stream.schema).parquet(path)
+    out = settled(t, lambda stream: ST.tumbling(stream, "at", "10 minutes", "event_type", aggs), "tumbling", "2 hours")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "total")
 
 
 @query("i10_trailing", """
@@ -117,9 +136,9 @@ def _(t):
 SELECT w AS window_start, CAST(count(*) AS BIGINT) AS n FROM (
 SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 2 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS w FROM events) GROUP BY 1""")
 def _(t):
-    out = ST.sliding(event_stream(t), "at", "3 days", "1 day", [], [F.count(F.lit(1)).alias("n")])
-    return (complete(t, out, ST.scratch(t.spark, "sliding"))
-            .select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n"))
+    count = [F.count(F.lit(1)).alias("n")]
+    out = settled(t, lambda stream: ST.sliding(stream, "at", "3 days", "1 day", [], count), "sliding", "4 days")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query("i11_sessions", """
@@ -135,17 +154,20 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR T
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
 SELECT user_id, min(ts) AS session_start, CAST(count(*) AS BIGINT) AS events FROM s GROUP BY user_id, no""")
 def _(t):
-    out = complete(t, ST.activity_sessions(event_stream(t), "user_id", "at", "6 hours", delay="60 days"), ST.scratch(t.spark, "sessions"))
+    out = settled(t, lambda stream: ST.activity_sessions(stream, "user_id", "at", "6 hours"), "sessions", "8 hours")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
 
 
 @query("i12_unseen_only", """
-SELECT event_id, ts FROM events""")
+SELECT event_id, ts, false AS late FROM events
+UNION ALL SELECT event_id, ts, true FROM events WHERE ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY FROM events)""")
 def _(t):
-    # Every event is delivered twice, the second time after the first was processed; within the watermark it is kept once.
-    path, out = ST.scratch(t.spark, "twice"), ST.scratch(t.spark, "unseen")
-    for copy in (0, 1):
-        t.events.write.parquet(f"{path}/copy={copy}")
-        stream = ST.read_snapshots(t.spark, f"{path}/*", t.events.schema).withColumn("at", F.col("ts").cast("timestamp"))
-        kept = ST.run_once(ST.unique_records(stream, "event_id", "at", "60 days").select("event_id", "ts"), out)
-    return kept
+    # After the last arrival, rows of the last hours come again, and rows of the first two days far too late.
+    out = ST.scratch(t.spark, "unseen")
+    for path, stream in arrivals(t):
+        MK.split_late(stream.drop("at"), out, "ts", "1 day", "event_id")
+    first, last = t.events.agg(F.min("ts")).scalar(), t.events.agg(F.max("ts")).scalar()
+    again = (F.col("ts") < F.date_trunc("day", first) + F.expr("interval 2 days")) | (F.col("ts") >= last - F.expr("interval 6 hours"))
+    t.events.where(again).write.mode("append").parquet(path)
+    kept, late = MK.split_late(arrived(t, path).drop("at"), out, "ts", "1 day", "event_id")
+    return (kept.withColumn("late", F.lit(False)).union(late.withColumn("late", F.lit(True)))).select("event_id", "ts", "late")

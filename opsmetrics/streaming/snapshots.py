@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import instant_micros, safe_div
 from ..operators.ranking import latest_per_key
 from ..operators.windows import as_list, neighbour, running, time_block
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, drop_tables
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_snapshots(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -25,20 +29,50 @@ def read_snapshots(spark: SparkSession, path: str, schema, files_per_batch: int
     return reader.parquet(path)
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append", partition_by=None) -> DataFrame:
-    """Process everything that has arrived, append it as parquet, and read the table back."""
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, outside the JVM's memory, and write changes only."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_once(stream: DataFrame, path: str, mode: str = "append", partition_by=None, progress: list | None = None) -> DataFrame:
+    """Process everything that has arrived, append it as parquet, and read the table back.
+
+    ``progress`` collects what the engine reports of each batch.
+    """
     writer = (stream.writeStream.format("parquet").outputMode(mode).trigger(availableNow=True)
               .option("path", path).option("checkpointLocation", f"{path}-progress"))
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.start().awaitTermination()
+    with state_on_disk(stream.sparkSession):
+        running_query = writer.start()
+        running_query.awaitTermination()
+    if progress is not None:
+        progress += running_query.recentProgress
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def run_batches(stream: DataFrame, path: str, write, mode: str = "append") -> None:
     """Process what has arrived with ``write(batch, batch_id)``."""
-    (stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
-     .option("checkpointLocation", f"{path}-progress").start().awaitTermination())
+    with state_on_disk(stream.sparkSession):
+        (stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+         .option("checkpointLocation", f"{path}-progress").start().awaitTermination())
+
+
+def close_stream(source: DataFrame, path: str, ts: str, after: str) -> None:
+    """Let one row arrive in ``path`` that lies ``after`` the newest time and is null otherwise.
+
+    It moves the watermark past the end, so that the next run gives out every window that is still open. Its own window
+    stays open and is never given out. For a stream that has ended: later rows would come too late.
+    """
+    last = source.agg((F.max(F.col(ts)) + F.expr(f"interval {after}")).alias(ts)).where(F.col(ts).isNotNull())
+    columns = [F.col(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    last.select(*columns).coalesce(1).write.mode("append").parquet(path)
 
 
 def append_snapshot(stream: DataFrame, path: str, at: Column | None = None, trigger: str | None = None):
@@ -114,12 +148,31 @@ def activity_sessions(df: DataFrame, key: str, ts: str, gap: str, delay: str = "
             .drop("_session"))
 
 
-def sample_deltas(stream: DataFrame, path: str, counter: str, at: str, value: str, block) -> DataFrame:
+def _stored_samples(spark: SparkSession, path: str, fields, batch_id: int, fold: int) -> DataFrame:
+    """The newest sample of each counter before a batch: the last folded table and the changes since."""
+    base = batch_id // fold * fold
+    parts = [f"{path}/folded/{base}"] * (base > 0) + [f"{path}/changed/{i}" for i in range(base, batch_id)]
+    rows = spark.read.schema(fields).parquet(*parts) if parts else spark.createDataFrame([], fields)
+    return latest_per_key(rows, "counter", "at", ["at", "value"])
+
+
+def _fold_samples(spark: SparkSession, path: str, fields, batch_id: int, fold: int) -> None:
+    """Before the first batch after ``fold`` others: one table of all counters; what the last but one was made of goes."""
+    if batch_id == 0 or batch_id % fold:
+        return
+    old = batch_id - fold
+    parts = [f"{path}/folded/{old}"] * (old > 0) + [f"{path}/changed/{i}" for i in range(old, batch_id)]
+    rows = spark.read.schema(fields).parquet(*parts)
+    latest_per_key(rows, "counter", "at", ["at", "value"]).write.mode("overwrite").parquet(f"{path}/folded/{batch_id}")
+    drop_tables(spark, [f"{path}/folded/{old - fold}", *[f"{path}/changed/{i}" for i in range(max(0, old - fold), old)]])
+
+
+def sample_deltas(stream: DataFrame, path: str, counter: str, at: str, value: str, block, fold: int = 16) -> DataFrame:
     """Difference of each sample to the one before, per counter, across batches.
 
-    The last sample of each counter is a small table beside the output, one version per
-    batch, so a batch that runs again starts from the same state and replaces its own
-    output. Inside a batch the window is cut by ``block`` (see operators.windows), so one
+    Each batch writes the newest sample of the counters that it brought, so what is written follows the changed counters
+    and not all of them; every ``fold`` batches the changes are folded into one table. A batch that runs again starts from
+    the same tables and replaces its own output. Inside a batch the window is cut by ``block`` (see operators.windows), so one
     busy counter does not land in one task. Samples no newer than the stored one go to
     ``late``: they have no place left to go.
     """
@@ -129,9 +182,9 @@ def sample_deltas(stream: DataFrame, path: str, counter: str, at: str, value: st
         rows = batch.select(F.col(counter).alias("counter"), F.col(at).alias("at"), F.col(value).alias("value"),
                             block.alias("_day")).persist()
         fields = rows.select("counter", "at", "value").schema
-        state = (spark.read.schema(fields).parquet(f"{path}/state/{batch_id - 1}") if batch_id
-                 else spark.createDataFrame([], fields))
-        known = state.select("counter", F.col("at").alias("last_at"), F.col("value").alias("last_value"))
+        _fold_samples(spark, path, fields, batch_id, fold)
+        known = _stored_samples(spark, path, fields, batch_id, fold).select(
+            "counter", F.col("at").alias("last_at"), F.col("value").alias("last_value"))
         seen = rows.join(known, "counter", "left")
         stale = F.coalesce(F.col("at") <= F.col("last_at"), F.lit(False))
         seen.where(stale).select("counter", "at", "value").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
@@ -142,8 +195,8 @@ def sample_deltas(stream: DataFrame, path: str, counter: str, at: str, value: st
          .select("counter", "at", (F.col("value") - before).alias("delta"),
                  ((instant_micros("at") - instant_micros(before_at)) / 1e6).alias("seconds"))
          .write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}"))
-        newest = latest_per_key(fresh.select("counter", "at", "value").unionByName(state), "counter", "at", ["at", "value"])
-        newest.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        newest = latest_per_key(fresh.select("counter", "at", "value"), "counter", "at", ["at", "value"])
+        newest.write.mode("overwrite").parquet(f"{path}/changed/{batch_id}")
         rows.unpersist()
 
     run_batches(stream, path, write)

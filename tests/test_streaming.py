@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opsmetrics.sources import tables as src
+from opsmetrics.streaming import marks as MK
 from opsmetrics.streaming import snapshots as ST
 
 
@@ -46,3 +47,69 @@ def test_marks(spark):
     assert ST.load_new(rows, rows.limit(0), "at").count() == 5
     assert ST.load_new(rows, rows.where("id <= 3"), "at").count() == 2
     assert ST.load_since_id(rows, None, "id").count() == 5 and ST.load_since_id(rows, 5, "id", overlap=2).count() == 2
+
+
+SAMPLES = "counter string, at timestamp_ntz, value bigint"
+AT = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+
+
+def arrive(spark, path, rows, schema=SAMPLES):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def windows(spark, path, out, progress):
+    stream = ST.read_snapshots(spark, path, SAMPLES).withColumn("time", F.col("at").cast("timestamp"))
+    made = ST.tumbling(stream, "time", "10 minutes", "counter", [F.count(F.lit(1)).alias("n")], delay="5 minutes")
+    rows = ST.run_once(made, out, progress=progress).select("counter", "window_start", "n").collect()
+    return sorted((r.counter, r.window_start.minute + 60 * r.window_start.hour, r.n) for r in rows if r.counter)
+
+
+def test_windows_settle_and_leave_the_state(spark, tmp_path):
+    path, out, progress = f"{tmp_path}/in", f"{tmp_path}/out", []
+    arrive(spark, path, [("a", AT(m), 1) for m in range(0, 30)] + [("b", AT(m), 1) for m in range(0, 30, 3)])
+    assert windows(spark, path, out, progress) == [("a", 0, 10), ("a", 10, 10), ("b", 0, 4), ("b", 10, 3)]
+    arrive(spark, path, [("a", AT(100), 1), ("a", AT(3), 1)])  # the second comes too late
+    assert windows(spark, path, out, progress)[2:] == [("a", 20, 10), ("b", 0, 4), ("b", 10, 3), ("b", 20, 3)]
+    ST.close_stream(spark.read.parquet(path), path, "at", "1 hour")
+    assert windows(spark, path, out, progress)[3:] == [("a", 100, 1), ("b", 0, 4), ("b", 10, 3), ("b", 20, 3)]
+    state = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in (x if isinstance(x, dict) else __import__("json").loads(x.json) for x in progress)]
+    assert max(state) == 6 and state[-1] == 1  # the closing row's own window
+
+
+def test_deltas_write_changed_counters_and_fold(spark, tmp_path):
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    arrive(spark, path, [(f"c{i}", AT(0), i) for i in range(50)])
+    for k in range(1, 8):
+        arrive(spark, path, [("c1", AT(k), 100 * k)])
+    stream = ST.read_snapshots(spark, path, SAMPLES, files_per_batch=1)
+    got = ST.sample_deltas(stream, out, "counter", "at", "value", F.col("at").cast("date"), fold=3).collect()
+    assert sorted((r.counter, r.at, r.delta) for r in got) == [("c1", AT(k), 100 if k > 1 else 99) for k in range(1, 8)]
+    sizes = {k: spark.read.parquet(f"{out}/changed/{k}").count() for k in (3, 4, 5, 6, 7)}
+    assert set(sizes.values()) == {1} and not (tmp_path / "out/changed/0").exists()
+    assert spark.read.parquet(f"{out}/folded/6").count() == 50 and not (tmp_path / "out/folded/0").exists()
+
+
+def test_increments_from_a_committed_mark(spark, tmp_path):
+    out, marks, schema = f"{tmp_path}/out", f"{tmp_path}/marks", "id bigint, v string"
+    source = lambda ids: spark.createDataFrame([(i, str(i)) for i in ids], schema)
+    load = lambda ids, version: MK.load_increment(source(ids), out, marks, "ring", "id", version)
+    read = lambda: sorted(r.id for r in spark.read.schema(schema).parquet(f"{out}/*").collect())
+    load([], 0)
+    load([1, 2, 4, 6, 7], 1)
+    assert read() == [1, 2, 4, 6, 7] and MK.read_mark(spark, marks, "ring", 2) == 7
+    for _ in range(2):  # a run that is repeated gives the same
+        load([1, 2, 3, 4, 5, 6, 7, 8, 9], 2)
+        assert read() == list(range(1, 10)) and MK.read_mark(spark, marks, "ring", 3) == 9
+    load([8, 9], 3)
+    assert read() == list(range(1, 10)) and MK.read_mark(spark, marks, "ring", 9) == 9
+    load([20, 3], 4)  # 3 lies before the overlap
+    assert read() == [*range(1, 10), 20] and MK.read_mark(spark, marks, "other", 9) is None
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    path, out, schema = f"{tmp_path}/in", f"{tmp_path}/out", "id int, at timestamp_ntz"
+    for rows in ([(1, AT(0)), (2, AT(60)), (2, AT(60))], [(2, AT(60)), (3, AT(50)), (4, AT(49)), (5, AT(90)), (6, None)], [(7, AT(79)), (5, AT(90)), (8, AT(80))]):
+        arrive(spark, path, rows, schema)
+        kept, late = MK.split_late(ST.read_snapshots(spark, path, schema), out, "at", "10 minutes", "id")
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 5, 6, 8]
+    assert sorted(r.id for r in late.collect()) == [4, 7]
