@@ -105,6 +105,14 @@ def _(t):
     return A.joined_text(ev, "user_id", ["ts", "event_id"], "event_type", "trail", ",", block="slice")
 
 
+@query("d11_text_chunks", """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY slice) AS chunk_no, trail FROM (
+SELECT user_id, CAST(ts AS DATE) AS slice, string_agg(event_type, ',' ORDER BY ts, event_id) AS trail FROM events GROUP BY 1, 2)""")
+def _(t):
+    ev = t.events.withColumn("slice", F.col("ts").cast("date"))
+    return A.text_chunks(ev, "user_id", ["ts", "event_id"], "event_type", "slice", "trail", ",")
+
+
 @query("d12_latest_instance", """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
 def _(t):

@@ -91,6 +91,22 @@ def _(t):
     return shredded(t).edges.select("o_orderkey", "resource_index", "role", "process_id", "mode")
 
 
+@query("k115_deadlocks_of_a_document", """
+SELECT d // 4 AS doc, CAST(row_number() OVER (PARTITION BY d // 4 ORDER BY d) - 1 AS INTEGER) AS deadlock_no, CASE WHEN d % 4 = 2 THEN 'malformed document' END AS error,
+       CASE WHEN d % 4 <> 2 THEN 'oddlock' END AS kind, CASE WHEN d % 4 <> 2 THEN 'a<b ' || d END AS note FROM (SELECT o_orderkey AS d FROM orders)""")
+def _(t):
+    # Four deadlocks to a document, one of them malformed, over a resource of a kind and with an attribute that no list names.
+    k = F.col("o_orderkey")
+    lock = F.concat(text('<oddlock note="a&lt;b '), k.cast("string"), text('"/>'))
+    body = F.when(k % 4 == 2, text("<process-list></resource-list>")).otherwise(F.concat(text("<process-list/><resource-list>"), lock, text("</resource-list>")))
+    one = F.concat(text("<deadlock>"), body, text("</deadlock>"))
+    docs = t.orders.groupBy(int_div("o_orderkey", 4).alias("doc")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", one.alias("x")))).alias("all"))
+    docs = docs.select("doc", F.concat(text("<events>"), F.array_join(F.transform("all", lambda d: d["x"]), " "), text("</events>")).alias("xml"))
+    found = D.deadlock_tables(docs, "doc", "xml")
+    kinds = found.resources.select("doc", D.NUMBER, "kind", F.col("attributes")["note"].alias("note"))
+    return found.graphs.select("doc", D.NUMBER, "error").join(kinds, ["doc", D.NUMBER], "left")
+
+
 @query("k116_deadlock_summary", """
 SELECT o_orderkey, CAST(2 AS BIGINT) AS processes, CAST(2 AS BIGINT) AS resources, CAST(4 AS BIGINT) AS edges, CAST(1 AS BIGINT) AS victim_ids, 'Victim process(es): SPID ' || CASE WHEN o_orderstatus = 'F' THEN o_orderkey || '9' ELSE CAST(o_custkey AS VARCHAR) END
   || '. Participants: 2; resources involved: 2. Applications seen: app. Hosts seen: ' || o_orderpriority || ', APP02. Lock modes seen: S, X.' AS summary FROM orders""")
@@ -102,7 +118,7 @@ def _(t):
 SELECT o_orderkey, 'keylock • db.t • ix1' AS resource, 'SPID ' || o_custkey AS waiter, 'SPID ' || o_orderkey || '9' AS owner, 'S' AS waiter_mode, 'X' AS owner_mode FROM orders
 UNION ALL SELECT o_orderkey, 'keylock • db.t • ix2', 'SPID ' || o_orderkey || '9', 'SPID ' || o_custkey, 'S', 'X' FROM orders""")
 def _(t):
-    return D.deadlock_edges(shredded(t, keep=True), "o_orderkey").drop("resource_index")
+    return D.deadlock_edges(shredded(t, keep=True), "o_orderkey").drop("resource_index", D.NUMBER)
 
 
 @query("k117_deadlock_filter", f"SELECT o_orderkey, id FROM ({SIDES}) WHERE is_victim AND contains(lower(id || ' ' || spid || ' app ' || hostname || ' u KEY X ' || primary_sql || ' run ' || spid || ' adhoc'), 'app02')")

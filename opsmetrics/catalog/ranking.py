@@ -34,6 +34,14 @@ def _(t):
     return R.page(t.orders.select("o_orderkey", "o_totalprice"), 40, 20, F.desc("o_totalprice"), "o_orderkey")
 
 
+@query("f4_deep_page", """
+SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 - (SELECT count(*) // 2 FROM orders) BETWEEN 0 AND 49""")
+def _(t):
+    # The directory is asked for at any depth here, and its ranges are small enough for several on the given tables.
+    half = t.orders.count() // 2
+    return R.page(t.orders.select("o_orderkey", "o_totalprice"), half, 50, F.desc("o_totalprice"), "o_orderkey", near=0, rows=2000)
+
+
 @query("f5_nth_highest", """
 SELECT o_orderkey, o_orderdate FROM orders QUALIFY dense_rank() OVER (ORDER BY o_orderdate DESC) = 3""")
 def _(t):

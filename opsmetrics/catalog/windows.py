@@ -44,8 +44,9 @@ def _(t):
 @query("e4_lag", """
 SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_order FROM orders""")
 def _(t):
-    orders = t.orders.withColumn("slice", F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 1000000)))
-    return (neighbour(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "slice", {"previous_order": "o_orderkey"})
+    # Ranges over key and order: a busy key takes as many as its rows need.
+    orders = range_blocks(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey")
+    return (neighbour(orders, "o_custkey", ["o_orderdate", "o_orderkey"], BLOCK, {"previous_order": "o_orderkey"})
             .select("o_orderkey", "previous_order"))
 
 

@@ -177,7 +177,7 @@ def path_prefix(path, separator: str, nth: int) -> Column:
 def pad_left(value, width: int, fill: str = "0") -> Column:
     """Pad to ``width``; longer values stay whole."""
     text = col(value).cast("string")
-    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(fill))
 
 
 # --- dates and times -------------------------------------------------------

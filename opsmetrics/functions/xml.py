@@ -82,6 +82,32 @@ def xml_query(text, tag: str) -> Column:
     return F.nullif(F.regexp_extract(col(text), pattern, 0), F.lit(""))
 
 
+def xml_elements(text, tag: str) -> Column:
+    """Texts of all elements ``tag`` in document order, markup kept; one of them does not hold another."""
+    pattern = f"(?s)<{tag}(?:\\s[^>]*)?(?:/>|>.*?</{tag}>)"
+    return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+
+
+def xml_attributes(text) -> Column:
+    """Map of the attributes in the text of a start tag; of a name that is given twice the first counts."""
+    pair = r"""([A-Za-z_][\w.:-]*)\s*=\s*(?:"[^"]*"|'[^']*')"""
+    value = r"""[A-Za-z_][\w.:-]*\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    names = F.regexp_extract_all(col(text), F.lit(pair), F.lit(1))
+    double, single = (F.regexp_extract_all(col(text), F.lit(value), F.lit(i)) for i in (1, 2))
+    entries = F.transform(names, lambda n, i: F.struct(n.alias("k"), _unescaped(F.concat(double[i], single[i])).alias("v")))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["k"]) == i + 1))
+
+
+#: Character references by name (fixed by the format); ``&amp;`` comes last.
+_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _unescaped(text: Column) -> Column:
+    for name, char in _REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def explode_events(df: DataFrame, xml: str, tag: str = "event", schema: str = EVENT_SCHEMA,
                    outer: bool = False) -> DataFrame:
     """One row per ``tag`` element of a document that holds many.

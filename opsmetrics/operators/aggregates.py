@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, safe_div
 from ..session import materialise
-from .windows import as_list, grand_total
+from .windows import as_list, attach, grand_total
 
 
 def sum_if(condition: Column, value=1) -> Column:
@@ -50,6 +51,19 @@ def joined_text(df: DataFrame, keys, order, text, name: str, separator: str = ",
     return ordered(df, keys, col(text), order).withColumnRenamed("_text", name)
 
 
+def text_chunks(df: DataFrame, keys, order, text, block: str, name: str = "text", separator: str = ", ") -> DataFrame:
+    """Ordered text of a group in numbered chunks, one for each block: keys, ``chunk_no`` from 1, text.
+
+    ``block`` is a column that never decreases along the order. The chunks, joined by the separator in order of their numbers,
+    are the whole text; no task and no row holds more than one block of it. Numbers come from the blocks alone.
+    """
+    keys = as_list(keys)
+    number = F.row_number().over(W.partitionBy(*keys).orderBy(block)).cast("bigint")
+    numbers = df.select(*keys, block).distinct().withColumn("chunk_no", number)
+    parts = joined_text(df, keys + [block], order, text, name, separator)
+    return attach(parts, numbers, keys + [block], "inner").select(*keys, "chunk_no", name)
+
+
 def pivot(df: DataFrame, keys, column: str, values: list, agg: Column) -> DataFrame:
     return df.groupBy(*as_list(keys)).pivot(column, values).agg(agg)
 

@@ -69,7 +69,8 @@ def ceiling_join(df: DataFrame, dim: DataFrame, value: str, bound: str) -> DataF
     """The same against a table of any size: next bound by a sorted merge of both sides.
 
     Both sides are put on one axis; each row takes the nearest bound at or after it.
-    The axis is cut into ranges, and only one bound per range is carried to the ranges before.
+    The axis is cut into ranges of like size, also where many rows have one value, and only one bound per range is carried
+    to the ranges before.
     """
     from pyspark.sql import Window as W
 
@@ -80,7 +81,7 @@ def ceiling_join(df: DataFrame, dim: DataFrame, value: str, bound: str) -> DataF
                         payload.alias("_dim"))
     rows = df.select(F.col(value).cast("double").alias("_x"), F.lit(0).alias("_side"),
                      F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
-    axis = range_blocks(rows.unionByName(bounds, allowMissingColumns=True), "_x", "_side")
+    axis = range_blocks(rows.unionByName(bounds, allowMissingColumns=True), "_x", "_side", split_ties=True)
     first = axis.groupBy(BLOCK).agg(F.min_by("_dim", F.when(F.col("_side") == 1, F.col("_x"))).alias("_d"))
     later = W.orderBy(BLOCK).rowsBetween(1, W.unboundedFollowing)
     edges = first.select(BLOCK, F.lit(float("inf")).alias("_x"), F.lit(2).alias("_side"), F.first("_d", ignorenulls=True).over(later).alias("_dim"))

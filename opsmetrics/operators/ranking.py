@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import as_list
+from .windows import BLOCK, BLOCK_ROWS, as_list, range_blocks
 
 
 def top_n(df: DataFrame, n: int, *order) -> DataFrame:
@@ -14,8 +14,22 @@ def top_n(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df: DataFrame, offset: int, n: int, *order) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(n)
+def page(df: DataFrame, offset: int, n: int, *order, near: int = 100_000, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``offset`` to ``offset + n`` in order; end ``order`` with a unique key for a repeatable answer.
+
+    Every task keeps the first ``offset + n`` rows while these are at most ``near``. A page further down is looked up in a
+    directory: the rows are cut into ranges, their counts are summed up to the page, and only the ranges that
+    hold it are sorted.
+    """
+    if offset + n <= near:
+        return df.orderBy(*order).offset(offset).limit(n)
+    ranged = range_blocks(df, *order, rows=rows)
+    counts = ranged.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    until = F.sum("n").over(W.orderBy(BLOCK))
+    held = counts.select(BLOCK, (until - F.col("n")).alias("start"), until.alias("until")).where(
+        (F.col("start") < offset + n) & (F.col("until") > offset)).collect()
+    some = ranged.where(F.col(BLOCK).isin([r[BLOCK] for r in held])).drop(BLOCK)
+    return some.orderBy(*order).offset(offset - min((r["start"] for r in held), default=offset)).limit(n)
 
 
 def top_k_per_group(df: DataFrame, keys, order, k: int, name: str | None = None) -> DataFrame:

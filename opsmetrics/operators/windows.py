@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 BLOCK = "_block"
+#: Rows in a block that is cut by counting.
+BLOCK_ROWS = 1_000_000
 
 
 def as_list(x) -> list:
@@ -40,13 +42,18 @@ def attach(df: DataFrame, side: DataFrame, names: list[str], how: str = "left")
     return df.join(side, reduce(lambda a, b: a & b, on), how).drop(*[f"_r_{n}" for n in names])
 
 
-def range_blocks(df: DataFrame, *order) -> DataFrame:
-    """Sort ``df`` into ranges and number them in ``_block``.
+def range_blocks(df: DataFrame, *order, rows: int = BLOCK_ROWS, split_ties: bool = False) -> DataFrame:
+    """Sort ``df`` into ranges of about ``rows`` rows and number them in ``_block``.
 
-    The rows are written once, so later steps all see the same numbering.
+    The number of ranges follows from the counted rows, their borders from a sample of all of them. With ``split_ties`` rows
+    of one place in the order may lie in neighbouring ranges, so that a value which most rows have does not make one large
+    range; without it they stay together. The rows are written once, so later steps all see the same numbering.
     """
-    ranged = df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id())
-    return materialise(ranged)
+    blocks = -(-df.count() // rows) or 1
+    tie = [F.xxhash64(F.col("_tie"))] if split_ties else []
+    marked = df.withColumn("_tie", F.monotonically_increasing_id()) if split_ties else df
+    ranged = marked.repartitionByRange(blocks, *order, *tie).withColumn(BLOCK, F.spark_partition_id())
+    return materialise(ranged.drop("_tie"))
 
 
 def time_block(ts, minutes: int = 10) -> Column:

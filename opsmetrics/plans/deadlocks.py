@@ -10,9 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.xml import CORRUPT, xml_query
+from ..functions.xml import CORRUPT, xml_attributes, xml_elements
 from ..session import materialise
 
+#: Number of a deadlock within its document.
+NUMBER = "deadlock_no"
 PROCESS_FIELDS = ["id", "spid", "ecid", "status", "taskpriority", "logused", "waitresource", "waittime", "lockMode", "transactionname",
                   "lasttranstarted", "trancount", "clientapp", "hostname", "hostpid", "loginname", "isolationlevel", "currentdb", "sbid", "priority", "xactid"]
 RESOURCE_FIELDS = ["id", "dbid", "objectname", "indexname", "hobtid", "associatedObjectId", "mode", "subresource"]
@@ -23,7 +25,7 @@ def attributes(names) -> str:
 
 
 _EDGE = "array<struct<_id: string, _mode: string, _requestType: string>>"
-_RESOURCE = (f"struct<_resource_kind: string, {attributes(RESOURCE_FIELDS)}, owner: {_EDGE}, waiter: {_EDGE}, "
+_RESOURCE = (f"struct<_resource_kind: string, resource_attributes: string, {attributes(RESOURCE_FIELDS)}, owner: {_EDGE}, waiter: {_EDGE}, "
              f"`owner-list`: struct<owner: {_EDGE}>, `waiter-list`: struct<waiter: {_EDGE}>>")
 _PROCESS = (f"struct<{attributes(PROCESS_FIELDS)}, executionStack: struct<frame: array<struct<_procname: string, _line: string, _VALUE: string>>>, "
             "inputbuf: string>")
@@ -32,22 +34,25 @@ SCHEMA = ("_victim string, `victim-list` struct<victimProcess: array<struct<_id:
           f"`resource-list` struct<resource: array<{_RESOURCE}>>")
 _PARTS = "(?:resource-list|owner-list|waiter-list|owner|waiter)"
 _OPEN = rf"""<(?!{_PARTS}[\s/>])([A-Za-z_][\w.:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+_EMPTY = _OPEN.removesuffix(")*+)>") + ")*?)/>"
 _CLOSE = rf"</(?!{_PARTS}\s*>)[A-Za-z_][\w.:-]*\s*>"
 
 
 def one_resource_tag(xml: Column) -> Column:
-    """Every element of the resource list as ``resource``, its own name kept as an attribute.
+    """Every element of the resource list as ``resource``, its own name kept as an attribute, the text of all its attributes as an element.
 
     Any kind is then read by one schema, in document order.
     """
     listed = F.regexp_extract(xml, r"(?s)<resource-list\b[^>]*>.*?</resource-list>", 0)
-    named = F.regexp_replace(F.regexp_replace(listed, _OPEN, '<resource resource_kind="$1"$2>'), _CLOSE, "</resource>")
+    opened = '<resource resource_kind="$1"$2><resource_attributes><![CDATA[$2]]></resource_attributes>'
+    paired = F.regexp_replace(listed, _EMPTY, "<$1$2></$1>")
+    named = F.regexp_replace(F.regexp_replace(paired, _CLOSE, "</resource>"), _OPEN, opened)
     return F.when(listed != "", F.replace(xml, listed, named)).otherwise(xml)
 
 
 @dataclass
 class DeadlockTables:
-    """``graphs``: one row per document. The rest carry the document id."""
+    """``graphs``: one row per deadlock. The rest carry the document id and the deadlock's number in it."""
 
     graphs: DataFrame
     processes: DataFrame
@@ -65,43 +70,45 @@ def label(spid: str = "spid", ecid: str = "ecid") -> Column:
 
 
 def deadlock_tables(documents: DataFrame, doc_id: str, xml: str, keep: bool = True) -> DeadlockTables:
-    """Shred each document's first deadlock element, whatever wraps it.
+    """Shred each document's deadlock elements, whatever wraps them; ``deadlock_no`` counts them from 0.
 
-    Documents without one, or with one that does not parse, stay in ``graphs`` with an error.
+    Documents without one, and elements that do not parse, stay in ``graphs`` with an error.
     With ``keep`` the parsed documents are written once and all tables read from there;
     without it every table that is used parses anew.
     """
-    part = xml_query(xml, "deadlock")
+    key = [doc_id, NUMBER]
+    found = xml_elements(xml, "deadlock")
+    parts = documents.select(doc_id, F.posexplode_outer(found).alias("_no", "_part")).select(doc_id, F.coalesce("_no", F.lit(0)).alias(NUMBER), "_part")
     parsed = F.from_xml(one_resource_tag(F.col("_part")), f"{SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     # The one-element explode keeps later filters and selections from repeating the parse.
-    docs = documents.select(doc_id, part.alias("_part")).select("*", F.explode(F.array(parsed)).alias("_d"))
+    docs = parts.select("*", F.explode(F.array(parsed)).alias("_d"))
     error = (F.when(F.col("_part").isNull(), "no deadlock element").when(F.col(f"_d.{CORRUPT}").isNotNull(), "malformed document")
              .when(F.col("_d.process-list").isNull(), "no process list"))
     listed = F.coalesce(F.transform(F.col("_d.victim-list.victimProcess"), lambda v: v["_id"]), F.array().cast("array<string>"))
     victims = F.array_distinct(F.filter(F.concat(listed, F.array("_d._victim")), lambda v: v.isNotNull() & (v != "")))
-    graphs = docs.select(doc_id, victims.alias("victim_ids"), error.alias("error"), "_d")
+    graphs = docs.select(*key, victims.alias("victim_ids"), error.alias("error"), "_d")
     graphs = materialise(graphs) if keep else graphs
     good = graphs.where("error is null")
 
-    p = good.select(doc_id, "victim_ids", F.posexplode("_d.process-list.process").alias("process_index", "p"))
+    p = good.select(*key, "victim_ids", F.posexplode("_d.process-list.process").alias("process_index", "p"))
     frames = F.coalesce(F.transform("p.executionStack.frame", lambda f: tidy(f["_VALUE"])), F.array().cast("array<string>"))
     known = F.filter(frames, lambda s: (s != "") & (F.lower(s) != "unknown"))
     procs = F.coalesce(F.transform("p.executionStack.frame", lambda f: F.concat_ws(" ", f["_procname"], tidy(f["_VALUE"]))), F.array().cast("array<string>"))
     first = F.when(F.size(known) > 0, F.get(known, F.lit(0))).otherwise(F.get(frames, F.lit(0)))
     text = tidy(F.col("p.inputbuf"))
-    processes = p.select(doc_id, "process_index", *[F.col(f"p._{n}").alias(n) for n in PROCESS_FIELDS],
+    processes = p.select(*key, "process_index", *[F.col(f"p._{n}").alias(n) for n in PROCESS_FIELDS],
                          F.array_contains("victim_ids", F.col("p._id")).alias("is_victim"),
                          F.coalesce(F.nullif(first, F.lit("")), text).alias("primary_sql"), text.alias("input_sql"), F.array_join(procs, " ").alias("frames"))
 
-    r = good.select(doc_id, F.posexplode("_d.resource-list.resource").alias("resource_index", "r"))
-    resources = r.select(doc_id, "resource_index", F.col("r._resource_kind").alias("kind"), *[F.col(f"r._{n}").alias(n) for n in RESOURCE_FIELDS])
+    r = good.select(*key, F.posexplode("_d.resource-list.resource").alias("resource_index", "r"))
+    resources = r.select(*key, "resource_index", F.col("r._resource_kind").alias("kind"), xml_attributes("r.resource_attributes").alias("attributes"), *[F.col(f"r._{n}").alias(n) for n in RESOURCE_FIELDS])
     none = F.array().cast(_EDGE)
 
     def side(role: str) -> DataFrame:
         """Owners or waiters of each resource, from its list or directly below it."""
         found = F.concat(F.coalesce(F.col(f"r.{role}-list.{role}"), none), F.coalesce(F.col(f"r.{role}"), none))
-        rows = r.select(doc_id, "resource_index", F.explode(found).alias("e"))
-        return rows.select(doc_id, "resource_index", F.lit(role).alias("role"), F.col("e._id").alias("process_id"), F.col("e._mode").alias("mode"), F.col("e._requestType").alias("request_type"))
+        rows = r.select(*key, "resource_index", F.explode(found).alias("e"))
+        return rows.select(*key, "resource_index", F.lit(role).alias("role"), F.col("e._id").alias("process_id"), F.col("e._mode").alias("mode"), F.col("e._requestType").alias("request_type"))
 
     return DeadlockTables(graphs.drop("_d"), processes, resources, side("owner").unionByName(side("waiter")))
 
@@ -112,15 +119,16 @@ def resource_label() -> Column:
 
 
 def deadlock_summary(t: DeadlockTables, doc_id: str) -> DataFrame:
-    """Counts per document, the victims, who took part, and a text that says it."""
+    """Counts per deadlock, the victims, who took part, and a text that says it."""
+    key = [doc_id, NUMBER]
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), ", ")
     p = t.processes.withColumn("label", label())
-    per_p = p.groupBy(doc_id).agg(F.count(F.lit(1)).alias("processes"), joined("clientapp").alias("applications"), joined("hostname").alias("hosts"),
+    per_p = p.groupBy(*key).agg(F.count(F.lit(1)).alias("processes"), joined("clientapp").alias("applications"), joined("hostname").alias("hosts"),
                                   F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_victim"), F.struct("process_index", "label")))), lambda v: v["label"]), ", ").alias("victims"))
-    per_r = t.resources.groupBy(doc_id).agg(F.count(F.lit(1)).alias("resources"))
-    per_e = t.edges.groupBy(doc_id).agg(F.count(F.lit(1)).alias("edges"), joined("mode").alias("lock_modes"))
+    per_r = t.resources.groupBy(*key).agg(F.count(F.lit(1)).alias("resources"))
+    per_e = t.edges.groupBy(*key).agg(F.count(F.lit(1)).alias("edges"), joined("mode").alias("lock_modes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    rows = (t.graphs.select(doc_id, F.size("victim_ids").cast("bigint").alias("victim_ids"), "error").join(per_p, doc_id, "left").join(per_r, doc_id, "left").join(per_e, doc_id, "left")
+    rows = (t.graphs.select(*key, F.size("victim_ids").cast("bigint").alias("victim_ids"), "error").join(per_p, key, "left").join(per_r, key, "left").join(per_e, key, "left")
             .withColumns({c: zero(c) for c in ("processes", "resources", "edges")}))
     said = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("not specified"))
     text = F.concat(F.when(F.coalesce("victims", F.lit("")) != "", F.concat(F.lit("Victim process(es): "), "victims")).otherwise("Victim process was not explicitly identified"),
@@ -131,8 +139,9 @@ def deadlock_summary(t: DeadlockTables, doc_id: str) -> DataFrame:
 
 def deadlock_edges(t: DeadlockTables, doc_id: str) -> DataFrame:
     """Who waits for whom: each waiter of a resource next to each of its owners."""
-    key = [doc_id, "resource_index"]
-    who = lambda role: (t.edges.where(F.col("role") == role).join(t.processes.select(doc_id, F.col("id").alias("process_id"), label().alias("label")), [doc_id, "process_id"], "left")
+    deadlock = [doc_id, NUMBER]
+    key = [*deadlock, "resource_index"]
+    who = lambda role: (t.edges.where(F.col("role") == role).join(t.processes.select(*deadlock, F.col("id").alias("process_id"), label().alias("label")), [*deadlock, "process_id"], "left")
                         .select(*key, F.coalesce("label", "process_id").alias(role), F.col("mode").alias(f"{role}_mode")))
     return (t.resources.select(*key, resource_label().alias("resource")).join(who("waiter"), key).join(who("owner"), key))
 
@@ -147,8 +156,8 @@ def deadlock_filter(t: DeadlockTables, doc_id: str, text: str = "", role: str =
     if role == "victims":
         return p.where("is_victim")
     if role in ("owners", "waiters"):
-        part = t.edges.where(F.col("role") == role[:-1]).select(doc_id, F.col("process_id").alias("id")).distinct()
-        return p.join(part, [doc_id, "id"], "left_semi")
+        part = t.edges.where(F.col("role") == role[:-1]).select(doc_id, NUMBER, F.col("process_id").alias("id")).distinct()
+        return p.join(part, [doc_id, NUMBER, "id"], "left_semi")
     if role != "all":
         raise ValueError(f"unknown role {role}")
     return p

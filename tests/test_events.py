@@ -87,3 +87,24 @@ def test_documents_that_do_not_parse_are_reported(spark):
     docs = spark.createDataFrame([(1, "<r><event name='a'/><event name='b'/></r>"), (2, "<r><event name="), (3, "<r/>")], "i int, x string")
     got = sorted((r["i"], r["event"]["_name"] if r["event"] else None, r["corrupt"]) for r in explode_events(docs, "x").collect())
     assert got == [(1, "a", None), (1, "b", None), (2, None, "<r><event name=")]
+
+
+def test_every_deadlock_of_a_document(spark):
+    """Several deadlocks, one malformed, one without processes, resources with any attributes."""
+    from opsmetrics.plans.deadlocks import deadlock_edges, deadlock_filter, deadlock_summary, deadlock_tables
+
+    one = ('<deadlock victim="p1"><process-list><process id="p1" spid="1"/><process id="p2" spid="2"/></process-list><resource-list>'
+           '<oddlock id="a" Note="x&lt;&quot;y&amp;gt;" other=\'say "no"\'/><keylock id="k"><owner-list><owner id="p1" mode="X"/></owner-list>'
+           '<waiter-list><waiter id="p2" mode="U"/></waiter-list></keylock></resource-list></deadlock>')
+    two = one.replace('"p1"', '"q1"').replace('spid="1"', 'spid="7"')
+    docs = [(1, f"<r>{one}<x/>{two}<deadlock><process-list></deadlock></r>"), (2, "<deadlock/>"), (3, "none"), (4, None), (5, one)]
+    t = deadlock_tables(spark.createDataFrame(docs, "d int, x string"), "d", "x")
+    assert sorted((r.d, r.deadlock_no, r.error) for r in t.graphs.collect()) == [
+        (1, 0, None), (1, 1, None), (1, 2, "malformed document"), (2, 0, "no process list"), (3, 0, "no deadlock element"), (4, 0, "no deadlock element"), (5, 0, None)]
+    assert sorted((r.d, r.deadlock_no, r.id, r.is_victim) for r in t.processes.where("d = 1").collect()) == [
+        (1, 0, "p1", True), (1, 0, "p2", False), (1, 1, "p2", False), (1, 1, "q1", True)]
+    odd = [r.attributes for r in t.resources.where("d = 5").orderBy("resource_index").collect()]
+    assert odd == [{"id": "a", "Note": 'x<"y&gt;', "other": 'say "no"'}, {"id": "k"}]
+    assert sorted((r.deadlock_no, r.waiter, r.owner) for r in deadlock_edges(t, "d").where("d = 1").collect()) == [(0, "SPID 2", "SPID 1"), (1, "SPID 2", "SPID 7")]
+    assert sorted((r.deadlock_no, r.victims) for r in deadlock_summary(t, "d").where("d = 1 and error is null").collect()) == [(0, "SPID 1"), (1, "SPID 7")]
+    assert sorted((r.d, r.deadlock_no, r.id) for r in deadlock_filter(t, "d", role="owners").collect()) == [(1, 0, "p1"), (1, 1, "q1"), (5, 0, "p1")]

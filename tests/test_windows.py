@@ -114,3 +114,56 @@ def test_a_hot_key_is_spread(spark, rows):
             assert tasks > 2
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_blocks_of_measured_size(spark):
+    """One value on nine tenths of the rows: no block holds much more than its share, and sums still follow the order."""
+    n = 20_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id") % 50).alias("v"))
+    blocks = X.range_blocks(df, "v", rows=1000, split_ties=True)
+    sizes = [r["count"] for r in blocks.groupBy(X.BLOCK).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000 and sum(sizes) == n
+    edges = blocks.groupBy(X.BLOCK).agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy(X.BLOCK).collect()
+    assert all(a["high"] <= b["low"] for a, b in zip(edges, edges[1:]))
+    together = X.range_blocks(df, "v", rows=1000)
+    assert together.where("v = 7").select(X.BLOCK).distinct().count() == 1
+    got = X.numbered(blocks.withColumn("k", F.lit(1)), "k", ["v", "id"], X.BLOCK)
+    assert sorted(r.row_num for r in got.select("row_num").collect()) == list(range(1, n + 1))
+    assert [r.v for r in got.orderBy("row_num").select("v").collect()] == sorted(r.v for r in df.collect())
+    assert X.range_blocks(df.limit(0), "v").count() == 0
+
+
+def test_ceiling_join_with_a_heavy_value(spark, monkeypatch):
+    from opsmetrics.operators import joins as J
+
+    plain = X.range_blocks
+    monkeypatch.setattr(X, "range_blocks", lambda df, *order, **kw: plain(df, *order, rows=100, **kw))
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 < 9, 50).otherwise(F.col("id") % 120).cast("double").alias("v"))
+    bounds = spark.createDataFrame([(float(b),) for b in (10, 49, 50, 80)], "b double")
+    got = {r.id: r.b for r in J.ceiling_join(rows, bounds, "v", "b").collect()}
+    want = {r.id: min((b for b in (10, 49, 50, 80) if b >= r.v), default=None) for r in rows.collect()}
+    assert got == {i: b for i, b in want.items() if b is not None}
+
+
+def test_deep_pages(spark):
+    from opsmetrics.operators.ranking import page
+
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("v"), (F.col("id") % 3).alias("g")).repartition(7)
+    rows = sorted(((r.g, -r.v) for r in df.collect()), key=lambda x: (x[0], x[1]))
+    for offset in (0, 1, 2499, 4990, 5000, 9000):
+        got = page(df, offset, 20, "g", F.desc("v"), near=0, rows=300)
+        assert [(r.g, -r.v) for r in got.collect()] == rows[offset:offset + 20]
+    plan = page(df, 2500, 20, "g", near=0, rows=300)._jdf.queryExecution().executedPlan().toString()
+    assert "In(_block" in plan or "_block IN" in plan or "(_block" in plan
+
+
+def test_text_chunks(spark):
+    from opsmetrics.operators.aggregates import joined_text, text_chunks
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), "id", F.floor(F.col("id") / 100).alias("b"), F.col("id").cast("string").alias("t"))
+    df = df.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    chunks = text_chunks(df, "k", "id", "t", "b", separator="-").collect()
+    whole = {r.k: r.t for r in joined_text(df, "k", "id", "t", "t", "-").collect()}
+    for k, text in whole.items():
+        own = sorted((r.chunk_no, r.text) for r in chunks if r.k == k)
+        assert [n for n, _ in own] == [1, 2, 3, 4, 5] and "-".join(t for _, t in own) == text
