@@ -3,10 +3,10 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from opsmetrics.catalog import ORACLES, QUERIES
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,5 +33,9 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
+def test_entry_lists_the_catalogue():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
