@@ -28,8 +28,8 @@ def _(t):
 @query("k23_head_blocker_report", f"""
 WITH tree AS ({TREE_SQL}), w AS (SELECT o_custkey AS sid, o_orderkey AS by_sid, o_orderpriority AS wait_type, CAST(floor(o_totalprice) AS BIGINT) AS ms FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderkey) = 1)
-SELECT CASE WHEN b.blk IS NOT NULL AND t.blk = 0 THEN '1' ELSE '' END AS head_blocker, t.sid AS session_id, t.wait_type AS status, w.by_sid AS blocked_by, w.wait_type, w.ms AS wait_duration_ms
-FROM tree t LEFT JOIN (SELECT DISTINCT blk FROM tree WHERE blk <> 0) b ON b.blk = t.sid LEFT JOIN w ON w.sid = t.sid WHERE (b.blk IS NOT NULL AND t.blk = 0) OR t.blk > 0""")
+SELECT CASE WHEN b.blk IS NOT NULL AND t.blk = 0 THEN '1' ELSE '' END AS head_blocker, t.sid AS session_id, t.wait_type AS status, w.by_sid AS blocked_by, w.wait_type, w.ms AS wait_duration_ms, d.text
+FROM tree t LEFT JOIN (SELECT DISTINCT blk FROM tree WHERE blk <> 0) b ON b.blk = t.sid LEFT JOIN w ON w.sid = t.sid LEFT JOIN documents d ON d.doc_id = t.sid WHERE (b.blk IS NOT NULL AND t.blk = 0) OR t.blk > 0""")
 def _(t):
     tree = t.customer_tree()
     sessions = tree.select(F.col("sid").alias("session_id"), F.lit("login").alias("login_name"), F.col("wait_type").alias("status"), F.lit(True).alias("is_user_process"))
@@ -40,7 +40,7 @@ def _(t):
                             F.floor("o_totalprice").alias("wait_duration_ms"))
     texts = t.documents.select(F.col("doc_id").alias("sql_handle"), "text")
     return (B.head_blocker_report(sessions, connections, requests, tasks, waits, texts)
-            .select("head_blocker", "session_id", "status", "blocked_by", "wait_type", "wait_duration_ms"))
+            .select("head_blocker", "session_id", "status", "blocked_by", "wait_type", "wait_duration_ms", "text"))
 
 
 @query("k24_blocking_hierarchy", f"""{HIERARCHY_SQL}
@@ -99,28 +99,39 @@ def _(t):
     return B.blocking_tree(captures(t))
 
 
+@query("k27_tree_numbers", f"""
+WITH RECURSIVE tree AS ({TREE_SQL}),
+p AS (SELECT sid, CAST(0 AS BIGINT) AS depth, [sid] AS path FROM tree WHERE blk = 0
+  UNION ALL SELECT t.sid, p.depth + 1, list_append(p.path, t.sid) FROM tree t JOIN p ON t.blk = p.sid AND t.blk > 0),
+s AS (SELECT a AS sid, count(*) AS size FROM (SELECT unnest(path) AS a FROM p) GROUP BY a)
+SELECT sid, depth, row_number() OVER (ORDER BY path) AS number, size FROM p JOIN s USING (sid)""")
+def _(t):
+    return B.tree_numbers(t.customer_tree())
+
+
 @query("k28_blocking_pairs", f"""
 WITH tree AS ({TREE_SQL})
-SELECT a.sid AS blocked_session_id, b.sid AS blocking_session_id, da.lang AS blocked_sql_text, db.lang AS blocking_sql_text, a.wait_type, a.wait_ms AS wait_duration_ms
+SELECT a.sid AS blocked_session_id, b.sid AS blocking_session_id, da.text AS blocked_sql_text, db.text AS blocking_sql_text, a.wait_type, a.wait_ms AS wait_duration_ms
 FROM tree a JOIN tree b ON a.blk = b.sid JOIN documents da ON da.doc_id = a.sid JOIN documents db ON db.doc_id = b.sid""")
 def _(t):
     tree = t.customer_tree()
-    texts = t.documents.select(F.col("doc_id").alias("session_id"), F.col("lang").alias("text"))
+    texts = t.documents.select(F.col("doc_id").alias("session_id"), "text")
     waits = tree.select(F.col("sid").alias("session_id"), "wait_type", F.col("wait_ms").alias("wait_duration_ms"))
     return B.blocking_pairs(tree, texts, waits)
 
 
 @query("k29_lock_contention", """
 SELECT l_returnflag AS resource_type, l_partkey AS entity_id, l_linestatus AS request_mode, l_orderkey AS waiter_session_id, CAST(floor(o_totalprice) AS BIGINT) AS wait_duration_ms,
-  w.lang AS waiter_batch, substring(w.lang, 1, 2) AS waiter_statement, o_custkey AS blocker_session_id, b.lang AS blocker_batch
+  md5(w.text) AS waiter_batch, substring(w.text, 5, 30) AS waiter_statement, o_custkey AS blocker_session_id, md5(b.text) AS blocker_batch
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN documents w ON w.doc_id = l_orderkey LEFT JOIN documents b ON b.doc_id = o_custkey""")
 def _(t):
     locks = t.lineitem.select(F.col("l_returnflag").alias("resource_type"), F.col("l_partkey").alias("entity_id"), F.col("l_linestatus").alias("request_mode"),
                               F.col("l_orderkey").alias("request_session_id"), F.col("l_orderkey").alias("lock_owner_address"))
     waits = t.orders.select(F.col("o_orderkey").alias("resource_address"), F.col("o_custkey").alias("blocking_session_id"), F.floor("o_totalprice").alias("wait_duration_ms"))
-    requests = t.documents.select(F.col("doc_id").alias("session_id"), F.col("doc_id").alias("sql_handle"), F.lit(0).alias("statement_start_offset"), F.lit(-1).alias("statement_end_offset"))
-    texts = t.documents.select(F.col("doc_id").alias("sql_handle"), F.col("lang").alias("text"))
-    return B.lock_contention(locks, waits, requests, texts)
+    requests = t.documents.select(F.col("doc_id").alias("session_id"), F.col("doc_id").alias("sql_handle"), F.lit(8).alias("statement_start_offset"), F.lit(66).alias("statement_end_offset"))
+    texts = t.documents.select(F.col("doc_id").alias("sql_handle"), "text")
+    # Whole texts are joined; their digests keep the compared rows small.
+    return B.lock_contention(locks, waits, requests, texts).withColumns({c: F.md5(c) for c in ("waiter_batch", "blocker_batch")})
 
 
 @query("k30_long_running", """
@@ -133,13 +144,13 @@ def _(t):
 
 
 @query("k31_running_requests", """
-SELECT o_orderkey AS request_id, o_custkey AS session_id, c_name AS login_name, CAST(floor(o_totalprice) AS BIGINT) AS cpu_time, substring(lang, 1, 2) AS statement_text
+SELECT o_orderkey AS request_id, o_custkey AS session_id, c_name AS login_name, CAST(floor(o_totalprice) AS BIGINT) AS cpu_time, substring(text, 3, 41) AS statement_text
 FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN documents ON doc_id = o_custkey ORDER BY cpu_time DESC, o_orderdate DESC, session_id, request_id LIMIT 25""")
 def _(t):
     requests = t.orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), F.floor("o_totalprice").alias("cpu_time"), F.col("o_orderdate").alias("elapsed_ms"),
-                               F.col("o_custkey").alias("sql_handle"), F.lit(0).alias("statement_start_offset"), F.lit(-1).alias("statement_end_offset"))
+                               F.col("o_custkey").alias("sql_handle"), F.lit(4).alias("statement_start_offset"), F.lit(84).alias("statement_end_offset"))
     sessions = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("login_name"), F.lit("h").alias("host_name"), F.lit(True).alias("is_user_process"))
-    texts = t.documents.select(F.col("doc_id").alias("sql_handle"), F.col("lang").alias("text"))
+    texts = t.documents.select(F.col("doc_id").alias("sql_handle"), "text")
     return S.running_requests(requests, sessions, texts).select("request_id", "session_id", "login_name", "cpu_time", "statement_text")
 
 
@@ -177,6 +188,26 @@ def _(t):
                             columns=["session_id", "program_name", "duration", "cpu_delta", "reads_delta", "writes_delta"], sort="session_id")
 
 
+@query("k33_agent_jobs", """
+WITH s AS (SELECT c_custkey, lpad(printf('%X', c_custkey), 8, '0') || '-0000-0000-0000-' || lpad(printf('%X', c_nationkey), 12, '0') AS id FROM customer)
+SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 > 0 THEN id END AS job_id, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 4 AS INTEGER) END AS step_id,
+       CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 < 2 AND c_custkey % 5 > 0 THEN 'job?' || c_custkey END AS job_name,
+       CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 < 2 AND c_custkey % 5 > 0 THEN 'step ' || c_custkey % 4 END AS step_name FROM s""")
+def _(t):
+    # Customers as sessions; two of three run for a job, not all jobs and steps are listed.
+    key = F.col("c_custkey")
+    group = F.lpad(F.hex("c_custkey"), 8, "0")
+    tail = F.lpad(F.hex("c_nationkey"), 12, "0")
+    turned = F.concat(*[F.substring(group, at, 2) for at in (7, 5, 3, 1)], F.lit("000000000000"), tail)
+    program = F.when(key % 3 == 0, "psql").otherwise(F.concat(F.lit("SQLAgent - TSQL JobStep (Job 0x"), turned, F.lit(" : Step "), (key % 4).cast("string"), F.lit(")")))
+    job = F.concat(group, F.lit("-0000-0000-0000-"), tail).alias("job_id")
+    listed = t.customer.where(key % 5 > 0)
+    steps = listed.select(job, F.explode(F.array(F.lit(0), F.lit(1))).alias("step_id")).withColumn("step_name", F.concat(F.lit("step "), F.col("step_id").cast("string")))
+    jobs = listed.select(job, F.concat(F.lit("job\x01"), key.cast("string")).alias("job_name"))
+    rows = t.customer.select(key.alias("session_id"), program.alias("program_name"))
+    return S.agent_jobs(rows, jobs, steps).drop("program_name")
+
+
 @query("k34_open_transactions", """
 SELECT o_custkey AS session_id, c_name AS login_name, o_orderdate AS begin_time, o_orderkey AS log_records, replace(replace(left(text, 255), chr(10), ' '), chr(13), ' ') AS last_text
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN documents ON doc_id = o_custkey WHERE o_orderstatus = 'O'""")

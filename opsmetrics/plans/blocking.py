@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.scalars import format_duration, int_avg, int_div, like, one_line, pad_left, rules, slice_statement
 from ..operators.ranking import top_k_per_group
-from ..operators.windows import as_list
+from ..operators.windows import BLOCK, as_list, range_blocks, running
 from ..session import materialise
 
 
@@ -269,6 +269,33 @@ def blocking_tree(history: DataFrame, runtime: str = "runtime", text: str = "bat
     return lines.select(runtime, "anchor", "sid", "depth", sort_path.alias("sort_path"), line.alias("blocking_tree"))
 
 
+def tree_numbers(edges: DataFrame, keys=None) -> DataFrame:
+    """Place of every session in the printed order of the trees: keys, sid, depth, number (from 1) and size of its subtree.
+
+    Sort by ``number`` and indent by ``depth`` to print; what hangs below a session has the ``size - 1`` numbers behind its own. So
+    a subtree is an interval, and no row holds a path. A session's place among its siblings is a running sum
+    of their subtree sizes, cut into ranges, and the places add up along the chain by pointer doubling. Sessions whose
+    chains end in a cycle or outside the table have no place and are left out.
+    """
+    keys = as_list(keys)
+    links = chains(edges, keys).join(edges.select(*keys, "sid", "blk"), keys + ["sid"])
+    up = F.when(F.col("level") > 0, F.col("blk"))
+    nodes = materialise(links.select(*keys, "sid", up.alias("up"), F.col("level").cast("bigint").alias("depth")))
+    sizes, _ = _subtree_sizes(nodes.select(*keys, "sid", "up"), keys)
+    nodes = nodes.join(sizes.select(*keys, "sid", "size"), keys + ["sid"])
+    siblings = keys + ["up"]
+    ranged = range_blocks(nodes, *[F.col(c).asc_nulls_first() for c in siblings], "sid")
+    placed = running(ranged, siblings, ["sid"], BLOCK, {"before": "size"}, exclusive=True)
+    # Every step down takes one number for the parent and those of the siblings before.
+    step = F.coalesce("before", F.lit(0)) + F.lit(1)
+    state = materialise(placed.select(*keys, "sid", "up", "depth", "size", step.cast("bigint").alias("number")))
+    while not state.where("up is not null").isEmpty():
+        over = state.select(*keys, F.col("sid").alias("up"), F.col("up").alias("_up"), F.col("number").alias("_number"))
+        state = materialise(state.join(over, keys + ["up"], "left").select(
+            *keys, "sid", F.col("_up").alias("up"), "depth", "size", (F.col("number") + F.coalesce("_number", F.lit(0))).alias("number")))
+    return state.select(*keys, "sid", "depth", "number", "size")
+
+
 def blocking_pairs(requests: DataFrame, texts: DataFrame, waits: DataFrame) -> DataFrame:
     """Each blocked session next to its blocker, with both texts and the wait."""
     text = lambda who: texts.select(F.col("session_id").alias(f"{who}_session_id"), F.col("text").alias(f"{who}_sql_text"))

@@ -49,6 +49,25 @@ def requests_by_hash(requests: DataFrame, n: int = 10, cut: int = 256) -> DataFr
             .drop("_text"))
 
 
+def agent_jobs(rows: DataFrame, jobs: DataFrame, steps: DataFrame, program: str = "program_name") -> DataFrame:
+    """Adds the job and step that a session runs for, where its program name says so: job_id, step_id, job_name, step_name.
+
+    The name holds the job's id as 32 hexadecimal digits, the first three groups of its text form with their bytes reversed. Control
+    characters in names show as ``?``. Sessions of other programs, and of jobs that are not there any more, keep
+    nulls in the names.
+    """
+    mark = r"^SQLAgent - .*\(Job 0x([0-9A-Fa-f]{32}) : Step (\d{1,9})\)"
+    digits = F.upper(F.regexp_extract(program, mark, 1))
+    turned = [F.concat(*[F.substring(digits, at, 2) for at in places]) for places in ((7, 5, 3, 1), (11, 9), (15, 13))]
+    job_id = F.concat_ws("-", *turned, F.substring(digits, 17, 4), F.substring(digits, 21, 12))
+    shown = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "?")
+    names = jobs.select(F.upper(F.col("job_id").cast("string")).alias("job_id"), shown("job_name").alias("job_name"))
+    parts = steps.select(F.upper(F.col("job_id").cast("string")).alias("job_id"), F.col("step_id").cast("int").alias("step_id"), shown("step_name").alias("step_name"))
+    known = names.join(parts, "job_id")
+    step = F.regexp_extract(program, mark, 2).try_cast("int")
+    return rows.withColumns({"job_id": F.when(digits != "", job_id), "step_id": F.when(digits != "", step)}).join(known, ["job_id", "step_id"], "left")
+
+
 COUNTS = ["cpu", "reads", "writes", "physical_io", "tempdb_allocations", "tempdb_current", "used_memory"]
 
 

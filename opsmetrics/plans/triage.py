@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -20,17 +22,44 @@ class Triage:
     reports: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
-    def run(self) -> Triage:
-        """Run each report on its own and go on from its written rows; one that fails is noted and does not stop the rest."""
+    def run(self, limit: float | None = None) -> Triage:
+        """Run each report on its own and go on from its written rows; one that fails is noted and does not stop the rest.
+
+        With ``limit``, a report that takes more seconds is noted as well: its jobs, which carry its tag, are
+        cancelled, and it is not waited for.
+        """
         out = Triage(errors=dict(self.errors))
         for name, report in self.reports.items():
-            try:
-                out.reports[name] = materialise(report)
-            except Exception as error:  # a report must not stop the others
-                out.errors[name] = str(error).splitlines()[0]
+            found = _in_time(report.sparkSession, lambda report=report: materialise(report), limit)
+            if isinstance(found, DataFrame):
+                out.reports[name] = found
+            else:
+                out.errors[name] = found
         return out
 
 
+def _in_time(spark: SparkSession, work: Callable[[], DataFrame], limit: float | None) -> DataFrame | str:
+    """What ``work`` returns, or why it did not."""
+    tag, found = f"triage-{uuid.uuid4().hex}", []
+
+    def run() -> None:
+        try:
+            spark.sparkContext.addJobTag(tag)
+            found.append(work())
+        except Exception as error:  # a report must not stop the others
+            found.append(str(error).splitlines()[0])
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(limit)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobsWithTag(tag)
+        return f"stopped after {limit:g} s"
+    return found[0]
+
+
 def posture(databases: DataFrame) -> DataFrame:
     """State and settings of each database, as far as they were collected."""
     return databases.select("database_name", *[c for c in V.POSTURE if c in databases.columns])

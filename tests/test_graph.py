@@ -109,3 +109,36 @@ def test_tree_layout(spark):
     lines = [r.blocking_tree for r in B.blocking_tree(df).orderBy("anchor", "sort_path").collect()]
     pad = "10:00" + " " * 17
     assert lines == [pad + "1 a b", pad + "|-- 2 x", pad + "|   |-- 3 y", pad + "2 x", pad + "|-- 3 y"]
+
+
+def test_tree_numbers(spark):
+    """Places in the printed order against a walk, per capture, with cycles and lost chains left out."""
+    import random
+
+    from opsmetrics.plans.blocking import tree_numbers
+
+    pick = random.Random(3)
+    rows = []
+    for run in ("a", "b"):
+        rows += [(run, i, 0 if i < 4 else pick.randrange(1, i)) for i in range(1, 120)]
+        rows += [(run, 200 + i, 199 + i if i else 0) for i in range(40)] + [(run, 300, 301), (run, 301, 300), (run, 302, 300), (run, 303, 999)]
+    want = []
+    for run in ("a", "b"):
+        below = {}
+        for r, sid, blk in rows:
+            if r == run:
+                below.setdefault(blk, []).append(sid)
+        number = 0
+
+        def walk(sid, depth):
+            nonlocal number
+            number += 1
+            own = number
+            for child in sorted(below.get(sid, [])):
+                walk(child, depth + 1)
+            want.append((run, sid, depth, own, number - own + 1))
+
+        for root in sorted(below[0]):
+            walk(root, 0)
+    got = tree_numbers(spark.createDataFrame(rows, "run string, sid bigint, blk bigint").repartition(5), "run").collect()
+    assert sorted((r.run, r.sid, r.depth, r.number, r["size"]) for r in got) == sorted(want)

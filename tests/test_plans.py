@@ -221,3 +221,39 @@ def test_contains_join_gives_the_same_rows_for_few_and_many_names(spark):
     for ignore_case in (False, True):
         one, other = (sorted(map(tuple, contains_join(df, names, "t", "n", few, ignore_case).collect())) for few in (200, 1))
         assert one == other and len(one) == 4 + ignore_case
+
+
+def test_triage_lists_what_fails_or_hangs(spark):
+    """A failing and a hanging report are noted, the hanging one's job is cancelled, the others run."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from opsmetrics.plans.triage import Triage
+
+    good = spark.range(5)
+    bad = spark.range(5).select(F.raise_error(F.lit("broken")).cast("int").alias("x"))
+    slow = spark.range(0, 1 << 44, 1, 4).select(F.max(F.hash("id")).alias("x"))
+    start = time.time()
+    done = Triage({"good": good, "bad": bad, "slow": slow, "after": good}, {"none": "table not collected: x"}).run(limit=20)
+    assert time.time() - start < 60
+    assert list(done.reports) == ["good", "after"] and done.reports["after"].count() == 5
+    assert done.errors["slow"] == "stopped after 20 s" and "broken" in done.errors["bad"] and done.errors["none"].endswith("x")
+    tracker = spark.sparkContext.statusTracker()
+    for _ in range(30):
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(1)
+    assert not tracker.getActiveJobsIds()
+
+
+def test_agent_jobs(spark):
+    from opsmetrics.plans.sessions import agent_jobs
+
+    jobs = spark.createDataFrame([("0102aabb-0304-0506-0708-090a0b0c0d0e", "nightly\x02")], "job_id string, job_name string")
+    steps = spark.createDataFrame([("0102AABB-0304-0506-0708-090A0B0C0D0E", 2, "load")], "job_id string, step_id int, step_name string")
+    name = "SQLAgent - TSQL JobStep (Job 0xBBAA0201040306050708090A0B0C0D0E : Step {})"
+    rows = spark.createDataFrame([(1, name.format(2)), (2, name.format(3)), (3, "other"), (4, None), (5, name.format("x"))], "s int, program_name string")
+    got = {r.s: (r.job_id, r.step_id, r.job_name, r.step_name) for r in agent_jobs(rows, jobs, steps).collect()}
+    job = "0102AABB-0304-0506-0708-090A0B0C0D0E"
+    assert got == {1: (job, 2, "nightly?", "load"), 2: (job, 3, None, None), 3: (None,) * 4, 4: (None,) * 4, 5: (None,) * 4}
