@@ -80,15 +80,46 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(found)).otherwise(none)
 
 
+def _merged(baskets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Baskets with one token for all that stand in the same baskets, and which tokens it stands for; rare tokens go.
+
+    Tokens that always come together would double the item sets with each of them. Sets of baskets are known by
+    their size and two hash sums.
+    """
+    each = baskets.select("uid", F.explode("tokens").alias("token"))
+    same = ["n", "x", "y"]
+    sets = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"),
+                                     F.bit_xor(F.xxhash64(F.lit(7), "uid")).alias("y")).where(F.col("n") >= least)
+    sets = materialise(sets)
+    members = materialise(sets.join(sets.groupBy(*same).agg(F.min("token").alias("head")), same).select("head", "token"))
+    merged = each.join(members, "token").groupBy("uid").agg(F.collect_set("head").alias("tokens"))
+    return merged.join(baskets.select("uid", "label"), "uid"), members
+
+
+def _spelled_out(rules: DataFrame, members: DataFrame) -> DataFrame:
+    """Each rule once for every choice of a token for each of its heads."""
+    most = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    out = rules.withColumn("heads", F.col("tokens")).withColumn("tokens", F.array().cast("array<string>"))
+    for k in range(most):
+        one = members.select(F.col("head").alias("_head"), F.col("token").alias("_token"))
+        out = out.join(one, F.get("heads", F.lit(k)) == F.col("_head"), "left").withColumn(
+            "tokens", F.when(F.col("_token").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("_token")))).drop("_head", "_token")
+    return out.drop("heads").withColumn("tokens", F.array_sort("tokens"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``rule_id, tokens, label, confidence, support`` from baskets (``tokens``, ``label``)."""
-    baskets = labelled.where(F.size("tokens") > 0).select(
-        F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
     spark = labelled.sparkSession
+    baskets = materialise(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("uid"), "tokens", "label"))
     schema = "rule_id bigint, tokens array<string>, label string, confidence double, support double"
-    if baskets.isEmpty():
+    total = baskets.count()
+    if total == 0:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    merged, members = _merged(baskets, min_support * total)
+    items = F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items")
+    # Baskets without a frequent token still count for support and confidence.
+    rest = baskets.join(merged.select("uid"), "uid", "left_anti").select(F.array(F.concat(F.lit(_LABEL), "label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(materialise(merged.select(items).union(rest)))
     is_label = F.col("consequent")[0].startswith(_LABEL)
     plain = ~F.exists("antecedent", lambda t: t.startswith(_LABEL))
     rules = materialise(model.associationRules.where(is_label & plain).select(
@@ -100,7 +131,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         "tokens", lambda t: F.array_except("tokens", F.array(t)))).alias("tokens"))
     beaten = shorter.join(rules.select("label", "tokens", F.col("confidence").alias("other")), ["label", "tokens"]).where(
         F.col("other") >= F.col("confidence")).select(F.col("long_id").alias("rule_id")).distinct()
-    return materialise(rules.join(beaten, "rule_id", "left_anti").select("rule_id", "tokens", "label", "confidence", "support"))
+    kept = materialise(rules.join(beaten, "rule_id", "left_anti"))
+    return materialise(_spelled_out(kept, members).withColumn("rule_id", F.xxhash64("label", "tokens"))
+                       .select("rule_id", "tokens", "label", "confidence", "support"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

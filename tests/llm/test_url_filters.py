@@ -84,3 +84,33 @@ def test_empty(spark):
     assert judge(spark.createDataFrame([], SCHEMA), RULES).count() == 0
     one = judge(spark.createDataFrame([(1, "http://x.org/a", "", "")], SCHEMA), RULES).first()
     assert (one["rule"], one["verdict"]) == (None, "allow")
+
+
+def test_tokens_that_always_come_together(spark):
+    """Twenty constant segments are mined as one token, with the rules that plain FP-growth and the pruning give on fewer."""
+    import time
+
+    from pyspark.ml.fpm import FPGrowth
+    from pyspark.sql import functions as F
+
+    from opsmetrics.llm.url_filters import mine
+
+    def baskets(deep):
+        rows = []
+        for i in range(300):
+            own = [f"path{k}=x" for k in range(deep)] if i % 3 else ["other"]
+            rows.append((own + [f"kind{i % 4}"], "block" if i % 3 and i % 4 != 2 else "allow"))
+        return spark.createDataFrame(rows + [([], "allow"), (["rare"], "block")], "tokens array<string>, label string")
+
+    few = baskets(4)
+    items = few.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("?"), "label"))).alias("items"))
+    plain = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=0.6).fit(items).associationRules.collect()
+    found = {(tuple(sorted(r.antecedent)), r.consequent[0][1:]): r.confidence for r in plain
+             if r.consequent[0][0] == "?" and not any(t[0] == "?" for t in r.antecedent)}
+    want = {k: c for k, c in found.items()
+            if not any(found.get((tuple(t for t in k[0] if t != out), k[1]), -1) >= c for out in k[0])}
+    got = {(tuple(r.tokens), r.label): r.confidence for r in mine(few, 0.05, 0.6).collect()}
+    assert got == want and len(got) > 4
+    start = time.time()
+    many = mine(baskets(20), 0.05, 0.6).collect()
+    assert time.time() - start < 90 and {t for r in many for t in r.tokens} >= {f"path{k}=x" for k in range(20)}
