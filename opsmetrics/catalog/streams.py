@@ -13,16 +13,23 @@ from .fixtures import COUNTERS_SQL, EVENTS_SPLIT, events_as_of, money
 from .registry import query
 
 
-def arrivals(t, days: int = 16):
-    """The events in the order of their arrival, ``days`` at a time, as (folder, stream): one item for each arrival."""
+def arrivals(t, days: int = 16, closing: str | None = None):
+    """The events in the order of their arrival, ``days`` at a time, as (folder, stream): one item for each arrival.
+
+    With ``closing``, a row so long after the newest event comes with the last arrival.
+    """
     path, day = ST.scratch(t.spark, "arrivals"), F.col("ts").cast("date")
     low, high = t.events.agg(F.min(day), F.max(day)).first()
     t.events.limit(0).write.parquet(path)
+    if low is None:
+        yield path, arrived(t, path)
     while low is not None and low <= high:
         until = low + datetime.timedelta(days=days)
         t.events.where((day >= F.lit(low)) & (day < F.lit(until))).write.mode("append").parquet(path)
-        yield path, arrived(t, path)
         low = until
+        if closing and low > high:
+            ST.close_stream(t.events, path, "ts", closing)
+        yield path, arrived(t, path)
 
 
 def arrived(t, path):
@@ -32,11 +39,9 @@ def arrived(t, path):
 def settled(t, make, name, closing):
     """Results of an aggregating stream, given out once the watermark has passed them; a closing row settles the last ones."""
     out = ST.scratch(t.spark, name)
-    path = None
-    for path, stream in arrivals(t):
-        ST.run_once(make(stream), out)
-    ST.close_stream(t.events, path, "ts", closing)
-    return ST.run_once(make(arrived(t, path)), out)
+    for _, stream in arrivals(t, closing=closing):
+        kept = ST.run_once(make(stream), out)
+    return kept
 
 
 @query("i1_append_snapshot", """

@@ -87,7 +87,8 @@ def occurs_detail() -> Column:
 
 
 def frequency() -> Column:
-    sub, start, end = F.col("freq_subday_type"), clock_text("active_start_time"), clock_text("active_end_time")
+    """From ``_start`` and ``_end``, the times of day in text."""
+    sub, start, end = F.col("freq_subday_type"), F.col("_start"), F.col("_end")
     every = lambda unit: F.concat(F.lit("Occurs every "), text("freq_subday_interval"), F.lit(f" {unit} between "), start, F.lit(" and "), end)
     return rules([(sub == 1, F.concat(F.lit("Occurs once at "), start))] + [(sub == code, every(unit)) for code, unit in V.SUBDAY_UNITS.items()], "")
 
@@ -95,7 +96,10 @@ def frequency() -> Column:
 def schedule_text(schedules: DataFrame) -> DataFrame:
     """Schedules in words, with the next run; a run date of 0 shows as 1900-01-01."""
     next_run = F.coalesce(int_datetime("next_run_date", "next_run_time"), F.when(F.col("next_run_date") == 0, F.lit("1900-01-01").cast("timestamp_ntz")))
-    return schedules.withColumns({"occurs": occurs(), "occurs_detail": occurs_detail(), "frequency": frequency(), "next_run": next_run})
+    # Both times are made once and not in every branch.
+    schedules = schedules.withColumns({"_start": clock_text("active_start_time"), "_end": clock_text("active_end_time")})
+    out = schedules.withColumns({"occurs": occurs(), "occurs_detail": occurs_detail(), "frequency": frequency(), "next_run": next_run})
+    return out.drop("_start", "_end")
 
 
 def avg_duration(history: DataFrame) -> DataFrame:
