@@ -12,7 +12,8 @@ block is cut into pieces that overlap by a window less one word, so no window is
 Before a document is streamed, runs of words that all occur in some item are found, and shorter runs than
 the shortest window are passed over; no window can lie in them.
 
-Defined results: a null or empty text has no words and no hits; items without words have no windows; items
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+a null or empty text has no words and no hits; items without words have no windows; items
 of one id are one item, and a null id is the empty string; repeated rows are judged alike; with no items
 nothing is hit.
 """

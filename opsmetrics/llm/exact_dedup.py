@@ -12,7 +12,8 @@
 3. Count. Sizes and winners are summed per passed-on row, then per group, and go back along the same rows.
    No step gathers a group.
 
-Defined results: a null text counts as empty; texts are equal if identical after deleting the six white
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+a null text counts as empty; texts are equal if identical after deleting the six white
 space characters; of a group the row with the most code points stays, then the smallest id (null ids last),
 then the first row read; repeated rows are group members like any other; an empty table gives no rows.
 """

@@ -10,7 +10,8 @@ Tokens are written once. The range sort moves keys and counts only; the places t
 number, which is even for any input. Documents of one key are ordered by row number, so a large group of
 equal documents is spread over ranges like any other.
 
-Defined results: a null or empty text is the end token alone; ids may be null or repeated, every row is
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+a null or empty text is the end token alone; ids may be null or repeated, every row is
 packed on its own; an empty table gives no rows.
 """
 

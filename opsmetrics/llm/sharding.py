@@ -8,7 +8,8 @@ looking at the others.
 
 Everything is a DataFrame expression. Only ids, sizes and checksums are shuffled, never texts.
 
-Defined results: null ids are numbered first; a null text has size 8 and checksum 0; rows that
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+null ids are numbered first; a null text has size 8 and checksum 0; rows that
 are equal in every column are interchangeable, each gets its own number; an empty table gives no
 rows.
 """

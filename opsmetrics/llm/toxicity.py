@@ -12,7 +12,8 @@ The model is fitted by the driver on a bounded sample: ``MAX_ROWS`` labelled row
 ``MAX_CHARS`` characters of them, and none longer than a fifth of that. Its size is fixed (``BUCKETS`` x
 ``DIM``), and what is broadcast is one number per bucket. Scoring reads whole texts of all rows.
 
-Defined results: a null or empty text scores as a window without words; rows with a null id are scored but
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+a null or empty text scores as a window without words; rows with a null id are scored but
 never trained on; null labels do not train; without usable labels every score is 0.5.
 """
 

@@ -9,7 +9,8 @@ were found. Of the rules that fire the one with the highest confidence decides,
 
 A list of fixed rules (host and path) goes first; URLs that it decides are the labelled ones.
 
-Defined results: a null URL or one without ``://`` has an empty host and path and no tokens; a URL that no
+Defined results: long texts are read whole, and other columns, whatever their names, change nothing;
+a null URL or one without ``://`` has an empty host and path and no tokens; a URL that no
 rule decides is allowed; repeated rows are judged alike; an empty table gives no rows.
 """
 
