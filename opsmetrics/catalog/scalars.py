@@ -142,10 +142,10 @@ def _(t):
 
 
 @query("h15_age", """
-SELECT o_orderkey, CAST(date_sub('year', CAST(o_orderdate AS DATE), DATE '2001-06-15') AS BIGINT) AS age FROM orders WHERE o_orderdate < TIMESTAMP '2001-06-15'""")
+SELECT o_orderkey, CAST(floor((19970615 - CAST(strftime(o_orderdate, '%Y%m%d') AS INT)) / 10000.0) AS BIGINT) AS age FROM orders""")
 def _(t):
-    as_of = F.lit("2001-06-15").cast("timestamp_ntz")
-    return t.orders.where(F.col("o_orderdate") < as_of).select("o_orderkey", S.age_years("o_orderdate", as_of).alias("age"))
+    # Rows after the date have a negative age.
+    return t.orders.select("o_orderkey", S.age_years("o_orderdate", F.lit("1997-06-15").cast("timestamp_ntz")).alias("age"))
 
 
 @query("h16_int_datetime", """
@@ -187,6 +187,18 @@ def _(t):
     return t.events.select("event_id", S.to_local("ts", "America/New_York").alias("new_york"), S.to_local("ts", "Asia/Kolkata").alias("kolkata"))
 
 
+@query("h20_summer_time", """
+WITH x AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS moment, make_date(year(o_orderdate), 4, 1) AS april,
+                  make_date(year(o_orderdate), 10, 31) AS october FROM orders),
+     y AS (SELECT *, april + CAST((7 - dayofweek(april)) % 7 AS INT) + INTERVAL 7 HOUR AS starts, october - CAST(dayofweek(october) AS INT) + INTERVAL 6 HOUR AS ends FROM x)
+SELECT o_orderkey, CASE WHEN moment >= starts AND moment < ends THEN moment - INTERVAL 4 HOUR ELSE moment - INTERVAL 5 HOUR END AS new_york,
+       moment + INTERVAL 330 MINUTE AS kolkata FROM y""")
+def _(t):
+    # Clock changes of the years in the data: first Sunday of April to last Sunday of October, at 2 o'clock there.
+    at = t.orders.select("o_orderkey", F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)").alias("at"))
+    return at.select("o_orderkey", S.to_local("at", "America/New_York").alias("new_york"), S.to_local("at", "Asia/Kolkata").alias("kolkata"))
+
+
 @query("h21_ticks", """
 SELECT event_id, TIMESTAMP '2024-01-31' - to_milliseconds(100000000 - event_id * 977) AS at FROM events""")
 def _(t):

@@ -2,12 +2,14 @@
 
 import os
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ..functions.scalars import int_div
 from ..functions.xml import explode_events
 from ..session import checkpoint_dir
+from ..sources import history
 from ..sources import tables as src
 from .fixtures import money
 from .registry import query
@@ -90,6 +92,23 @@ def _(t):
     return src.append_to(t.orders.where(~early).select("o_totalprice", "o_orderkey"), path)
 
 
+@query("a7_history", """
+SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM events JOIN orders ON o_custkey = user_id WHERE ts > TIMESTAMP '2024-01-20 12:00:00' AND o_orderdate > TIMESTAMP '1998-01-01' GROUP BY 1""")
+def _(t):
+    # Two histories of as many buckets: filters on time prune days, the join and the grouping need no shuffle.
+    base = history.history_database(t.spark, f"history_{uuid.uuid4().hex}")
+    noon = F.lit("2024-01-16 12:00:00").cast("timestamp_ntz")
+    for part in (F.col("ts") < noon, F.col("ts") >= noon):
+        events = history.append_history(t.events.where(part), f"{base}.events", "ts", "user_id", 8)
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate", "o_totalprice")
+    orders = history.append_history(orders, f"{base}.orders", "o_orderdate", "user_id", 8, "year")
+    late = history.since(events, "ts", datetime(2024, 1, 20, 12)).select("user_id")
+    new = history.since(orders, "o_orderdate", datetime(1998, 1, 1), "year").select("user_id", "o_totalprice")
+    return late.join(new, "user_id").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"))
+
+
 @query("a8_stage", """
 SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer GROUP BY 1""")
 def _(t):

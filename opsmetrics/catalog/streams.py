@@ -1,12 +1,14 @@
 """Group I: incremental and streaming forms. Streams read files and drain what is there."""
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import sets as S
 from ..operators.windows import time_block
 from ..plans.counters import counter_delta
+from ..sources import history
 from ..streaming import marks as MK
 from ..streaming import snapshots as ST
 from .fixtures import COUNTERS_SQL, EVENTS_SPLIT, events_as_of, money
@@ -122,6 +124,16 @@ def _(t):
     return S.retain(t.events, "ts", 20, events_as_of()).select("event_id", "ts")
 
 
+@query("i8_retention_history", """
+SELECT event_id, ts, user_id FROM events WHERE ts > TIMESTAMP '2024-01-11 06:00:00'""")
+def _(t):
+    # Days before the border go as partitions, the border's day is written anew.
+    table = f"{history.history_database(t.spark, f'history_{uuid.uuid4().hex}')}.events"
+    history.append_history(t.events, table, "ts", "user_id", 8)
+    kept = history.retain_history(t.spark, table, "ts", 20, datetime.datetime(2024, 1, 31, 6))
+    return kept.select("event_id", "ts", "user_id")
+
+
 @query("i9_tumbling", """
 SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL""")

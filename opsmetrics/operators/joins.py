@@ -100,14 +100,41 @@ def lookup(df: DataFrame, table: DataFrame, on, keep_unmatched: bool = False) ->
     return df.join(table, on, "left" if keep_unmatched else "inner")
 
 
+#: Characters of the grams under which texts and names meet, and of the pieces a long text is cut to first.
+GRAM, PIECE = 4, 1024
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of one length; a shorter text is its own."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda at: F.substr(text, at, F.lit(size))))
+
+
+def anchored_hits(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Candidates ``_row, _key`` for texts ``_row, _text`` that may contain a ``_key``: each key stands under its rarest gram.
+
+    Texts give off grams of one length, and of the at most ``GRAM - 1`` lengths of shorter keys, whatever lengths the keys have.
+    Only grams that some key has are kept.
+    """
+    short = [r[0] for r in keys.where(F.length("_key") < GRAM).select(F.length("_key")).distinct().collect()]
+    keyed = keys.distinct().select("_key", F.explode(_grams(F.col("_key"), GRAM)).alias("_gram"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(PIECE))
+    pieces = texts.select("_row", F.explode(F.transform(starts, lambda at: F.substr("_text", at, F.lit(PIECE + GRAM - 1)))).alias("_piece"))
+    expanded = pieces.select("_row", F.explode(F.concat(*[_grams(F.col("_piece"), n) for n in (GRAM, *short)])).alias("_gram"))
+    there = materialise(expanded.join(keyed.select("_gram").distinct(), "_gram", "left_semi").distinct())
+    spread = there.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarity = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))
+    anchors = keyed.join(spread, "_gram", "left").groupBy("_key").agg(F.min(rarity).alias("_a")).where("_a.n > 0")
+    return there.join(anchors.select("_key", F.col("_a.gram").alias("_gram")), "_gram").select("_row", "_key")
+
+
 def contains_join(df: DataFrame, names: DataFrame, text: str, name: str, few: int = 200,
                   ignore_case: bool = False) -> DataFrame:
     """Rows paired with every name their text contains.
 
-    Up to ``few`` names are folded into the plan as a list. More names than that are
-    matched by an equality join: each text gives off its substrings of the lengths
-    that occur among the names, one row number and substring each, and the rows are joined
-    back at the end. Both ways give the same rows; repeated input rows are kept.
+    Up to ``few`` names are folded into the plan as a list. More names than that meet the texts
+    under one gram each, and each candidate is compared whole. Both ways give the same rows; repeated
+    input rows are kept.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     known = names.where((F.col(name).isNotNull()) & (F.length(name) > 0))
@@ -117,14 +144,11 @@ def contains_join(df: DataFrame, names: DataFrame, text: str, name: str, few: in
                         lambda v: F.contains(fold(F.col(text)), fold(v)))
         found = df.withColumn("_name", F.explode(hits))
         return found.join(known, F.col("_name") == F.col(name), "inner").drop("_name")
-    lengths = sorted(r[0] for r in known.select(F.length(name)).distinct().collect())
     rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    grams = (rows.select("_row", fold(F.col(text)).alias("_text"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
-             .select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - F.col("_len") + 1, F.lit(1))),
-                                                   lambda at: F.substr("_text", at, F.col("_len")))).alias("_gram")).distinct())
     keyed = known.withColumn("_key", fold(F.col(name)))
-    hits = grams.join(keyed, F.col("_gram") == F.col("_key"), "inner").drop("_gram", "_key")
-    return rows.join(hits, "_row").drop("_row")
+    hits = anchored_hits(rows.select("_row", fold(F.col(text)).alias("_text")), keyed.select("_key"))
+    held = rows.join(hits, "_row").where(F.contains(fold(F.col(text)), F.col("_key")))
+    return held.join(keyed, "_key").drop("_row", "_key")
 
 
 def either_key_join(df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
