@@ -47,7 +47,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: With this setting Spark removes a query's shuffle files when the query ends.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _recording = threading.local()
+_writing_lock = threading.Lock()
+_writing: dict[str, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside leave no shuffle files. The setting is given back when the session's last thread leaves."""
+    key = spark._jsparkSession.sessionUUID()
+    with _writing_lock:
+        count, before = _writing.get(key, (0, None))
+        if not count:
+            before = spark.conf.get(SHUFFLES_END, None)
+            spark.conf.set(SHUFFLES_END, "true")
+        _writing[key] = count + 1, before
+    try:
+        yield
+    finally:
+        with _writing_lock:
+            count, before = _writing.pop(key)
+            if count > 1:
+                _writing[key] = count - 1, before
+            elif before is None:
+                spark.conf.unset(SHUFFLES_END)
+            else:
+                spark.conf.set(SHUFFLES_END, before)
 
 
 @contextmanager
@@ -74,11 +101,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and go on from there.
 
     Later steps all see the same rows, survive lost executors without the work before, and
-    are planned with the true size of the table.
+    are planned with the true size of the table. The shuffle files of the write go when it ends: only the table is read from then on.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     for made in getattr(_recording, "lists", ()):
         made.append(path)
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
