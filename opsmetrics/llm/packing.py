@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 from unicodedata import is_normalized
 
@@ -150,9 +151,15 @@ def keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(np.clip((projected + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a file, kept with its words for the next tasks of a worker."""
+    return Encoder(path)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from opsmetrics.llm import packing
 from opsmetrics.llm.packing import Encoder, hilbert, keys, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -70,3 +72,13 @@ def test_keys_bring_like_documents_together():
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_words_are_kept_between_tasks(monkeypatch):
+    """A second task of a worker encodes no word that the first one has encoded, and gives the same ids."""
+    learned = []
+    monkeypatch.setattr(Encoder, "_learn", lambda self, new, learn=Encoder._learn: (learned.extend(new), learn(self, new))[1])
+    packing.encoder_of.cache_clear()
+    batch = pa.RecordBatch.from_pydict({"uid": [1, 2], "id": [1, 2], "text": ["some words of a text", "other words"]})
+    first, second = (next(packing._encode(str(PATH))(iter([batch]))) for _ in range(2))
+    assert first.equals(second) and sorted(learned) == sorted(set(learned)) and len(learned) == 6
