@@ -2,7 +2,11 @@
 
 import random
 
-from opsmetrics.llm.html_text import deduce, extract, main_text, page_tokens, squeeze, templates
+from pyspark.sql import functions as F
+
+from opsmetrics.llm.html_text import (
+    _OUTLINES, Outline, Roles, _outlines, check_pages, deduce, extract, main_text, outline, page_counts, page_tokens, plain, read, settle, settled_templates,
+    squeeze, templates)
 
 SCHEMA = "page_id bigint, url string, html string, text string"
 
@@ -167,3 +171,73 @@ def test_all_slots_of_an_article(spark):
              f"<div class='body'><p>{block(-i - 1, 70)}</p></div></body>", "") for i in range(12)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: f"{block(i, 30)} {block(-i - 1, 70)}" for i in range(12)}
+
+
+def rounds_of(pages):
+    """Template, roles and cuts of one host by whole vectors, round by round."""
+    lines = [outline(read(p))[0] for p in pages]
+    cuts, told, marks = {}, {}, {}
+    while True:
+        vectors, chars = {}, {}
+        for i, page in enumerate(lines):
+            counts, sizes = page_counts(page, Roles(told, marks))
+            for t, n in counts.items():
+                vectors.setdefault(t, [0] * len(pages))[i] = n
+                chars[t] = chars.get(t, 0) + sizes.get(t, 0)
+        held = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= max(2, len(pages) / 2)}
+        entries = [{"token": t, "class": hash(tuple(v)), "pages": sum(x > 0 for x in v), "total": sum(v), "chars": chars[t]} for t, v in held.items()]
+        found = check_pages(entries, cuts, Roles(told, marks), [x._asdict() for x in lines])
+        checks = [dict(zip(("token", "low", "high", "first", "last"), (t, *x))) for t, x in found.items()]
+        new_cuts, new_told, new_marks = settle(entries, checks, cuts)
+        cuts.update(new_cuts)
+        told.update(new_told)
+        for t, g, r in new_marks:
+            if g not in [x for x, _ in marks.get(t, [])]:
+                marks.setdefault(t, []).append((g, r))
+        if not new_cuts and not new_told:
+            return entries, Roles(told, marks), cuts
+
+
+def test_roles_part_elements_of_one_path(spark):
+    """Three elements of one path: their places between tokens of the page's class tell menu, article and imprint apart."""
+    pages = [f"<body><div>Home <b>About us</b></div><h1>T {i}</h1>{f'<div><p>{words(i, 20)}</p></div>' * (1 + i % 3)}<hr><div>Imprint</div></body>"
+             for i in range(8)]
+    assert texts_of(spark, pages) == [" ".join([words(i, 20)] * (1 + i % 3)) for i in range(8)]
+
+
+def test_seldom_roles_of_a_slot_stay(spark):
+    """A part of the article that few pages have between other tokens is no template and stays."""
+    pages = [f"<body><div>Home</div><h1>T</h1><div><p>{words(i, 30)}</p></div><hr>{'<div><p>' + words(-i - 1, 9) + '</p></div>' if i in (2, 5) else ''}"
+             "<h2>End</h2><div>Imprint</div></body>" for i in range(9)]
+    assert texts_of(spark, pages) == [words(i, 30) + (" " + words(-i - 1, 9) if i in (2, 5) else "") for i in range(9)]
+
+
+def test_classes_are_ordered_and_nested():
+    # Two boxes that change places leave the class of the page; they tell nothing apart.
+    a, b = "<ul class='x'><li>One</li></ul>", "<ol><li>Two</li></ol>"
+    pages = [f"<body><h1>T</h1>{a + b if i % 2 else b + a}<div><p>{words(i, 9)}</p></div></body>" for i in range(6)]
+    entries, _, cuts = rounds_of(pages)
+    tokens = {e["token"] for e in entries}
+    left = {plain(t) for t in cuts}
+    assert {"/body/ul[x]", "/body/ol", "/body/ul[x]/li", "/body/ol/li"} <= left & tokens and not left & {"/body", "/body/h1", "/body/div", "/body/div/p"}
+    # Two boxes of one vector in different gaps of the page's class are not one class.
+    pages = [f"<body><h1>T</h1>{a if i % 3 else ''}<h2>U</h2>{b if i % 3 else ''}<hr><p>{words(i, 9)}</p></body>" for i in range(9)]
+    entries, _, cuts = rounds_of(pages)
+    class_of = {e["token"]: (e["class"], cuts.get(e["token"], 0)) for e in entries}
+    assert len({e["class"] for e in entries if e["token"] in ("/body/ul[x]", "/body/ol")}) == 1
+    assert class_of["/body/ul[x]"] == class_of["/body/ul[x]/li"] != class_of["/body/ol"] == class_of["/body/ol/li"]
+
+
+def test_settled_templates_are_those_of_whole_vectors(spark):
+    pick = random.Random(13)
+    box = lambda: pick.choice(["<div>Home</div>", "<div><p>Some</p></div>", "<ul><li>a<li>b</ul>", ""])
+    for _ in range(3):
+        fixed = [box() for _ in range(5)]
+        pages = [f"<body>{fixed[0]}<h1>T {i}</h1>{fixed[1]}<div><p>{words(i, 9)}</p>{box()}</div>{fixed[2]}<hr>{box()}<div>{fixed[3]}</div><h2>E</h2>{fixed[4]}"
+                 f"<div><div>{words(-i, 5)}</div></div></body>" for i in range(10)]
+        rows = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, uid bigint, html string").repartition(4)
+        found = settled_templates(rows.mapInArrow(_outlines, _OUTLINES)).withColumn("n", F.size("told")).collect()
+        entries, roles, cuts = rounds_of(pages)
+        assert len(found) == 1 and {e["token"] for e in found[0]["template"]} == {e["token"] for e in entries}
+        assert {x["token"] for x in found[0]["told"]} == set(roles.told) and {x["token"] for x in found[0]["cuts"]} == set(cuts)
+        assert texts_of(spark, pages) == [extract(p, deduce(entries), roles) for p in pages]
