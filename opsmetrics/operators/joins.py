@@ -83,10 +83,11 @@ def ceiling_join(df: DataFrame, dim: DataFrame, value: str, bound: str) -> DataF
                      F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
     axis = range_blocks(rows.unionByName(bounds, allowMissingColumns=True), "_x", "_side", split_ties=True)
     first = axis.groupBy(BLOCK).agg(F.min_by("_dim", F.when(F.col("_side") == 1, F.col("_x"))).alias("_d"))
-    later = W.orderBy(BLOCK).rowsBetween(1, W.unboundedFollowing)
-    edges = first.select(BLOCK, F.lit(float("inf")).alias("_x"), F.lit(2).alias("_side"), F.first("_d", ignorenulls=True).over(later).alias("_dim"))
-    ahead = W.partitionBy(BLOCK).orderBy("_x", "_side").rowsBetween(W.currentRow, W.unboundedFollowing)
-    out = axis.unionByName(edges, allowMissingColumns=True).withColumn("_hit", F.first("_dim", ignorenulls=True).over(ahead))
+    # From the far end: Spark goes through the rest of the rows again for each row of a frame that ends at the last one.
+    later = W.orderBy(F.desc(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+    edges = first.select(BLOCK, F.lit(float("inf")).alias("_x"), F.lit(2).alias("_side"), F.last("_d", ignorenulls=True).over(later).alias("_dim"))
+    ahead = W.partitionBy(BLOCK).orderBy(F.desc("_x"), F.desc("_side")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = axis.unionByName(edges, allowMissingColumns=True).withColumn("_hit", F.last("_dim", ignorenulls=True).over(ahead))
     return out.where("_side = 0 and _hit is not null").select("_row.*", "_hit.*")
 
 

@@ -145,6 +145,15 @@ def test_ceiling_join_with_a_heavy_value(spark, monkeypatch):
     assert got == {i: b for i, b in want.items() if b is not None}
 
 
+def test_ceiling_join_of_many_rows_goes_through_them_once(spark):
+    rows = spark.range(200_000).select("id", (F.col("id") * 7919 % 200_000).cast("double").alias("v"))
+    bounds = spark.range(0, 190_001, 10).select(F.col("id").cast("double").alias("b"))
+    got = J.ceiling_join(rows, bounds, "v", "b")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    wrong = got.where("b <> ceil(v / 10) * 10").count()
+    assert (wrong, got.count()) == (0, 190_001)
+
+
 def test_deep_pages(spark):
     from opsmetrics.operators.ranking import page
 
