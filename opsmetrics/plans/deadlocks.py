@@ -25,25 +25,38 @@ def attributes(names) -> str:
 
 
 _EDGE = "array<struct<_id: string, _mode: string, _requestType: string>>"
-_RESOURCE = (f"struct<_resource_kind: string, resource_attributes: string, {attributes(RESOURCE_FIELDS)}, owner: {_EDGE}, waiter: {_EDGE}, "
-             f"`owner-list`: struct<owner: {_EDGE}>, `waiter-list`: struct<waiter: {_EDGE}>>")
+_SIDES = f"owner: {_EDGE}, waiter: {_EDGE}, `owner-list`: struct<owner: {_EDGE}>, `waiter-list`: struct<waiter: {_EDGE}>"
+_FIELDS = f"_resource_kind: string, resource_attributes: string, {attributes(RESOURCE_FIELDS)}"
 _PROCESS = (f"struct<{attributes(PROCESS_FIELDS)}, executionStack: struct<frame: array<struct<_procname: string, _line: string, _VALUE: string>>>, "
             "inputbuf: string>")
-SCHEMA = ("_victim string, `victim-list` struct<victimProcess: array<struct<_id: string>>>, "
-          f"`process-list` struct<process: array<{_PROCESS}>>, "
-          f"`resource-list` struct<resource: array<{_RESOURCE}>>")
+
+
+def _resources(fields: str) -> str:
+    return f"`resource-list` struct<resource: array<struct<{fields}>>>"
+
+
+_VICTIMS = "_victim string, `victim-list` struct<victimProcess: array<struct<_id: string>>>"
+_PROCESSES = f"`process-list` struct<process: array<{_PROCESS}>>"
+#: What of the processes decides on a document's error: a text field that holds elements does not parse.
+_CHECKED = "`process-list` struct<process: array<struct<inputbuf: string>>>"
+SCHEMA = f"{_VICTIMS}, {_PROCESSES}, {_resources(f'{_FIELDS}, {_SIDES}')}"
 _PARTS = "(?:resource-list|owner-list|waiter-list|owner|waiter)"
-_OPEN = rf"""<(?!{_PARTS}[\s/>])([A-Za-z_][\w.:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
-_EMPTY = _OPEN.removesuffix(")*+)>") + ")*?)/>"
-_CLOSE = rf"</(?!{_PARTS}\s*>)[A-Za-z_][\w.:-]*\s*>"
+# No part of these gives characters back: what follows a name or a value cannot begin within it.
+_NAME = r"([A-Za-z_][\w.:-]*+)"
+_OPEN = rf"""<(?!{_PARTS}[\s/>]){_NAME}((?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
+_EMPTY = rf"""<(?!{_PARTS}[\s/>]){_NAME}((?:[^>"'/]++|/(?!>)|"[^"]*"|'[^']*')*+)/>"""
+_CLOSE = rf"</(?!{_PARTS}\s*>)[A-Za-z_][\w.:-]*+\s*>"
+
 
+def resource_list(xml: Column) -> Column:
+    return F.regexp_extract(xml, r"(?s)<resource-list\b[^>]*>.*?</resource-list>", 0)
 
-def one_resource_tag(xml: Column) -> Column:
-    """Every element of the resource list as ``resource``, its own name kept as an attribute, the text of all its attributes as an element.
+
+def one_resource_tag(xml: Column, listed: Column) -> Column:
+    """Every element of the resource list ``listed`` as ``resource``, its own name kept as an attribute, the text of all its attributes as an element.
 
     Any kind is then read by one schema, in document order.
     """
-    listed = F.regexp_extract(xml, r"(?s)<resource-list\b[^>]*>.*?</resource-list>", 0)
     opened = '<resource resource_kind="$1"$2><resource_attributes><![CDATA[$2]]></resource_attributes>'
     paired = F.regexp_replace(listed, _EMPTY, "<$1$2></$1>")
     named = F.regexp_replace(F.regexp_replace(paired, _CLOSE, "</resource>"), _OPEN, opened)
@@ -74,22 +87,33 @@ def deadlock_tables(documents: DataFrame, doc_id: str, xml: str, keep: bool = Tr
 
     Documents without one, and elements that do not parse, stay in ``graphs`` with an error.
     With ``keep`` the parsed documents are written once and all tables read from there;
-    without it every table that is used parses anew.
+    without it every table that is used parses anew, and only what it shows.
     """
     key = [doc_id, NUMBER]
     found = xml_elements(xml, "deadlock")
     parts = documents.select(doc_id, F.posexplode_outer(found).alias("_no", "_part")).select(doc_id, F.coalesce("_no", F.lit(0)).alias(NUMBER), "_part")
-    parsed = F.from_xml(one_resource_tag(F.col("_part")), f"{SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    # The one-element explode keeps later filters and selections from repeating the parse.
-    docs = parts.select("*", F.explode(F.array(parsed)).alias("_d"))
-    error = (F.when(F.col("_part").isNull(), "no deadlock element").when(F.col(f"_d.{CORRUPT}").isNotNull(), "malformed document")
-             .when(F.col("_d.process-list").isNull(), "no process list"))
-    listed = F.coalesce(F.transform(F.col("_d.victim-list.victimProcess"), lambda v: v["_id"]), F.array().cast("array<string>"))
-    victims = F.array_distinct(F.filter(F.concat(listed, F.array("_d._victim")), lambda v: v.isNotNull() & (v != "")))
-    graphs = docs.select(*key, victims.alias("victim_ids"), error.alias("error"), "_d")
-    graphs = materialise(graphs) if keep else graphs
-    good = graphs.where("error is null")
-
+    # A column of its own, so that it is searched for once.
+    listed = parts.withColumn("_listed", resource_list(F.col("_part")))
+
+    def read(schema: str) -> DataFrame:
+        parsed = F.from_xml(one_resource_tag(F.col("_part"), F.col("_listed")), f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        # The one-element explode keeps later filters and selections from repeating the parse.
+        docs = listed.select("*", F.explode(F.array(parsed)).alias("_d"))
+        error = (F.when(F.col("_part").isNull(), "no deadlock element").when(F.col(f"_d.{CORRUPT}").isNotNull(), "malformed document")
+                 .when(F.col("_d.process-list").isNull(), "no process list"))
+        if _VICTIMS not in schema:
+            return docs.select(*key, error.alias("error"), "_d")
+        ids = F.coalesce(F.transform(F.col("_d.victim-list.victimProcess"), lambda v: v["_id"]), F.array().cast("array<string>"))
+        victims = F.array_distinct(F.filter(F.concat(ids, F.array("_d._victim")), lambda v: v.isNotNull() & (v != "")))
+        return docs.select(*key, victims.alias("victim_ids"), error.alias("error"), "_d")
+
+    written = materialise(read(SCHEMA)) if keep else None
+
+    def parsed(*schema: str) -> DataFrame:
+        return written if keep else read(", ".join(schema))
+
+    graphs = parsed(SCHEMA)
+    good = parsed(_VICTIMS, _PROCESSES).where("error is null")
     p = good.select(*key, "victim_ids", F.posexplode("_d.process-list.process").alias("process_index", "p"))
     frames = F.coalesce(F.transform("p.executionStack.frame", lambda f: tidy(f["_VALUE"])), F.array().cast("array<string>"))
     known = F.filter(frames, lambda s: (s != "") & (F.lower(s) != "unknown"))
@@ -100,17 +124,23 @@ def deadlock_tables(documents: DataFrame, doc_id: str, xml: str, keep: bool = Tr
                          F.array_contains("victim_ids", F.col("p._id")).alias("is_victim"),
                          F.coalesce(F.nullif(first, F.lit("")), text).alias("primary_sql"), text.alias("input_sql"), F.array_join(procs, " ").alias("frames"))
 
-    r = good.select(*key, F.posexplode("_d.resource-list.resource").alias("resource_index", "r"))
+    def listed_resources(fields: str) -> DataFrame:
+        good = parsed(_CHECKED, _resources(fields)).where("error is null")
+        return good.select(*key, F.posexplode("_d.resource-list.resource").alias("resource_index", "r"))
+
+    r = listed_resources(_FIELDS)
     resources = r.select(*key, "resource_index", F.col("r._resource_kind").alias("kind"), xml_attributes("r.resource_attributes").alias("attributes"), *[F.col(f"r._{n}").alias(n) for n in RESOURCE_FIELDS])
     none = F.array().cast(_EDGE)
 
-    def side(role: str) -> DataFrame:
+    def side(role: str) -> Column:
         """Owners or waiters of each resource, from its list or directly below it."""
         found = F.concat(F.coalesce(F.col(f"r.{role}-list.{role}"), none), F.coalesce(F.col(f"r.{role}"), none))
-        rows = r.select(*key, "resource_index", F.explode(found).alias("e"))
-        return rows.select(*key, "resource_index", F.lit(role).alias("role"), F.col("e._id").alias("process_id"), F.col("e._mode").alias("mode"), F.col("e._requestType").alias("request_type"))
+        return F.transform(found, lambda e: F.struct(F.lit(role).alias("role"), e["_id"].alias("process_id"), e["_mode"].alias("mode"), e["_requestType"].alias("request_type")))
+
+    # Both sides from one parse.
+    edges = listed_resources(_SIDES).select(*key, "resource_index", F.explode(F.concat(side("owner"), side("waiter"))).alias("e")).select(*key, "resource_index", "e.*")
 
-    return DeadlockTables(graphs.drop("_d"), processes, resources, side("owner").unionByName(side("waiter")))
+    return DeadlockTables(graphs.drop("_d"), processes, resources, edges)
 
 
 def resource_label() -> Column:

@@ -108,3 +108,22 @@ def test_every_deadlock_of_a_document(spark):
     assert sorted((r.deadlock_no, r.waiter, r.owner) for r in deadlock_edges(t, "d").where("d = 1").collect()) == [(0, "SPID 2", "SPID 1"), (1, "SPID 2", "SPID 7")]
     assert sorted((r.deadlock_no, r.victims) for r in deadlock_summary(t, "d").where("d = 1 and error is null").collect()) == [(0, "SPID 1"), (1, "SPID 7")]
     assert sorted((r.d, r.deadlock_no, r.id) for r in deadlock_filter(t, "d", role="owners").collect()) == [(1, 0, "p1"), (1, 1, "q1"), (5, 0, "p1")]
+
+
+def test_tables_that_parse_only_what_they_show(spark):
+    """The same rows as from one whole parse, odd documents included, and both sides of the resources from one parse."""
+    whole = ('<deadlock victim="p1"><victim-list/><process-list><process id="p1"><executionStack><frame>s{0}</frame></executionStack><inputbuf>run{1}</inputbuf></process></process-list>'
+             '<resource-list><keylock id="l"{2}><owner-list><owner id="p1" mode="X"/>{3}</owner-list><waiter id="p2" mode="S"/></keylock>{4}</resource-list></deadlock>')
+    odd = ["", "<b/>", "t<b>u</b>t", "<b", "<!-- c -->", "<![CDATA[<q>]]>", "<x y='a/>b'/>", '<x y="]]>"/>', '<x y="open/>', "<inputbuf>1<c/>2</inputbuf>", '<owner id="z"/>', "<a/ b='1'>", "<x/ >"]
+    values = ["", ' n="1"', ' n="a/>b"', " n='x\"y'", ' n="1" n="2"', " n=1", ' n="]]>"', " n"]
+    docs = [whole.format(*[x if i == k else "" for k in range(5)]) for i in (0, 1, 3, 4) for x in odd]
+    docs += [whole.format("", "", x, "", "") for x in values]
+    df = spark.createDataFrame(list(enumerate(docs)), "d int, x string")
+    apart, kept = (D.deadlock_tables(df, "d", "x", keep) for keep in (False, True))
+    for name in ("graphs", "processes", "resources", "edges"):
+        got, want = (sorted(map(repr, getattr(t, name).collect())) for t in (apart, kept))
+        assert got == want, name
+    errors = [r.error for r in kept.graphs.collect()]
+    assert errors.count(None) > 20 and errors.count("malformed document") > 10
+    plan = apart.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1 and "clientapp" not in plan
